@@ -49,6 +49,6 @@ def order_code(primary: Column, doc_id: Column) -> Column:
 
     A decimal sits in a hash aggregate's mutable buffer, where a struct would force a sort. A null id ranks last.
     """
-    step = F.lit(2**64).cast("decimal(20,0)")
+    step = F.lit("18446744073709551616").cast("decimal(20,0)")
     last = F.lit(2**63 - 1)
     return (primary.cast("decimal(10,0)") * step - F.coalesce(doc_id.cast("bigint"), last).cast("decimal(19,0)")).cast("decimal(38,0)")
