@@ -62,7 +62,7 @@ def write_archive(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z
 
 def header_field(header: Column, name: str) -> Column:
     """The value of a header line, null where the line is missing."""
-    found = F.regexp_extract(header, rf"(?m)^{name}: (.*?)\r$", 1)
+    found = F.regexp_extract(header, rf"\n{name}: ([^\r\n]*)\r\n", 1)
     return F.when(F.contains(header, F.lit(f"\n{name}: ")), found)
 
 
