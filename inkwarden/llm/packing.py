@@ -75,6 +75,17 @@ def place(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     return where, offset
 
 
+def _filler(base: int, last: bool, capacity: int, tolerance: int):
+    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+        where, offset = place(pdf["length"].to_numpy(), capacity)
+        free = capacity - np.bincount(where, weights=pdf["length"].to_numpy()).astype(np.int64)
+        kept = last | (free[where] <= tolerance)
+        first = (base + int(pdf["block"].iloc[0])) << 24
+        return pdf.drop(columns="block").assign(sequence_id=np.where(kept, first + where, -1), offset=offset)
+
+    return fill
+
+
 def pack(pieces: DataFrame, capacity: int = 1024, block_rows: int = 4096, tolerance: int = 4, rounds: int = 4) -> DataFrame:
     """Place pieces (columns PIECES) into sequences; adds sequence_id and offset.
 
@@ -89,15 +100,8 @@ def pack(pieces: DataFrame, capacity: int = 1024, block_rows: int = 4096, tolera
         blocks = max(1, math.ceil(rest.count() / block_rows))
         last = blocks == 1 or step == rounds - 1
 
-        def fill(pdf: pd.DataFrame, base: int = base, last: bool = last) -> pd.DataFrame:
-            where, offset = place(pdf["length"].to_numpy(), capacity)
-            block = int(pdf["block"].iloc[0])
-            free = capacity - np.bincount(where, weights=pdf["length"].to_numpy()).astype(np.int64)
-            kept = last | (free[where] <= tolerance)
-            return pdf.drop(columns="block").assign(sequence_id=np.where(kept, ((base + block) << 24) + where, -1), offset=offset)
-
         dealt = rest.withColumn("block", F.pmod(F.xxhash64("lot", F.lit(step)), F.lit(blocks)))
-        placed = settle(dealt.groupBy("block").applyInPandas(fill, PLACED), f"packed-{step}")
+        placed = settle(dealt.groupBy("block").applyInPandas(_filler(base, last, capacity, tolerance), PLACED), f"packed-{step}")
         done.append(placed.filter("sequence_id >= 0"))
         if last:
             break
