@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, line_repeats, packing, quality, url_filter, warc
+from . import exact_dedup, line_repeats, near_dedup, packing, quality, url_filter, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,32 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op4_near_dedup"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda x: x <> '') AS ws
+  FROM documents
+), sh AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(ws) < 5 THEN ['#' || array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS s
+  FROM w
+), ids AS (SELECT s, row_number() OVER () AS sid FROM sh GROUP BY s HAVING count(*) > 1
+), n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id
+), k AS (SELECT sh.doc_id, sid FROM sh JOIN ids USING (s)
+), common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM k a JOIN k b ON a.sid = b.sid AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM common JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 75 * (na.n + nb.n - c)
+), both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach(v, r) AS (
+  SELECT a, a FROM both_ways UNION SELECT e.b, r FROM reach JOIN both_ways e ON e.a = v WHERE r < e.b
+), comp AS (SELECT v, min(r) AS c FROM reach GROUP BY v)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(c, d.doc_id) AS component_id, coalesce(c, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN comp ON v = d.doc_id
+"""
