@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, line_repeats, near_dedup, packing, quality, url_filter, warc
+from . import exact_dedup, line_dedup, line_repeats, near_dedup, packing, quality, url_filter, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,7 +79,8 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES["op4_near_dedup"] = r"""
 WITH RECURSIVE w AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda x: x <> '') AS ws
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-
+]+'), lambda x: x <> '') AS ws
   FROM documents
 ), sh AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(ws) < 5 THEN ['#' || array_to_string(ws, ' ')]
@@ -99,3 +100,34 @@ WITH RECURSIVE w AS (
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(c, d.doc_id) AS component_id, coalesce(c, d.doc_id) = d.doc_id AS kept
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN comp ON v = d.doc_id
 """
+
+
+@query
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.repeated_lines(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op5_line_dedup"] = r"""
+WITH raw AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents
+), l AS (
+  SELECT doc_id, unnest(range(0, len(ls))) AS line_no, trim(unnest(ls), ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS c FROM raw
+), k AS (SELECT doc_id, line_no, c, doc_id * 2147483648 + line_no AS place FROM l WHERE length(c) >= 20
+), d AS (SELECT c, min(place) AS first FROM k GROUP BY c
+), v AS (
+  SELECT DISTINCT c, first, i, substr(c, 1, i - 1) || substr(c, i + 1) AS s FROM (SELECT c, first, unnest(range(1, length(c) + 1)) AS i FROM d)
+), sub AS (SELECT c, first, min(first) OVER (PARTITION BY i, length(c), s) AS near FROM v
+), ins AS (
+  SELECT a.c, a.first, b.first AS near FROM (SELECT DISTINCT c, first, s FROM v) a JOIN d b ON a.s = b.c
+), near AS (
+  SELECT c, min(near) AS near FROM (
+    SELECT c, near FROM sub WHERE near < first
+    UNION ALL SELECT c, near FROM ins WHERE near < first
+    UNION ALL SELECT b.c, i.first FROM ins i JOIN d b ON b.first = i.near WHERE i.first < b.first) GROUP BY c
+), r AS (
+  SELECT k.doc_id, k.line_no, place, d.first, near.near FROM k JOIN d USING (c) LEFT JOIN near USING (c)
+  WHERE place > d.first OR near.near IS NOT NULL
+)
+SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, CAST(least(first, coalesce(near, first)) // 2147483648 AS BIGINT) AS keep_doc_id,
+  CAST(least(first, coalesce(near, first)) % 2147483648 AS INTEGER) AS keep_line_no, CASE WHEN near < first THEN 1 ELSE 0 END AS edits
+FROM r
+"""
