@@ -170,6 +170,16 @@ def fit(labelled: DataFrame, features: int = 256, width: float = 4.0, ridge: flo
     return model
 
 
+def fitted(rows: DataFrame, labels: DataFrame) -> tuple[Model | None, float]:
+    """(model, known rate) from the statistics of all documents and the labels of the folds that may be learnt from."""
+    known = labels.filter("quality is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max("quality").cast("double").alias("y"))
+    part = fold(F.col("doc_id"))
+    labelled = settle(rows.join(known, "doc_id").filter(part != 2).select("x", "y", (part == 3).alias("calibrate")), "labelled")
+    model = fit(labelled)
+    rate = labelled.agg(F.avg("y")).first()[0] if model is None else None
+    return model, 1.0 if rate is None else rate
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", cut: float = 0.7) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of `docs`.
 
@@ -180,28 +190,34 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     scores. Extra columns are ignored. No rows in, no rows out.
     """
     rows = settle(with_statistics(docs, id_col, text_col), "statistics")
-    known = labels.filter("quality is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max("quality").cast("double").alias("y"))
-    part = fold(F.col("doc_id"))
-    labelled = settle(rows.join(known, "doc_id").filter(part != 2).select("x", "y", (part == 3).alias("calibrate")), "labelled")
-    model = fit(labelled)
-    out = [F.col("doc_id"), (part == 2).alias("held_out")]
+    model, rate = fitted(rows, labels)
+    held_out = (fold(F.col("doc_id")) == 2).alias("held_out")
     if model is None:
-        rate = labelled.agg(F.avg("y")).first()[0]
-        scored = rows.select(*out, F.lit(1.0 if rate is None else rate).alias("score"))
+        scored = rows.select("doc_id", held_out, F.lit(rate).alias("score"))
     else:
         held = docs.sparkSession.sparkContext.broadcast(model)
 
         def run(batches):
             for batch in batches:
                 x = np.array(batch.column(1).to_pylist(), dtype=float).reshape(-1, len(FEATURES))
-                s = held.value.probability(x) if len(x) else np.zeros(0)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64())], names=["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held.value.probability(x), pa.float64())], names=["doc_id", "score"])
 
-        scored = rows.mapInArrow(run, "doc_id bigint, score double").select(*out, "score")
+        scored = rows.mapInArrow(run, "doc_id bigint, score double").select("doc_id", held_out, "score")
     return scored.withColumn("predicted", (F.col("score") >= cut).cast("int"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", cut: float = 0.7) -> DataFrame:
-    """The rows of `docs` that are not rejected, with all their columns."""
-    rejected = quality_scores(docs, labels, id_col, text_col, cut).filter("predicted = 0").select(F.col("doc_id").alias("__rejected")).distinct()
-    return docs.join(rejected, F.col(id_col).cast("bigint") == F.col("__rejected"), "left_anti")
+    """The rows of `docs` that are not rejected, with all their columns; scored row by row, so no text is shuffled."""
+    model, rate = fitted(with_statistics(docs, id_col, text_col), labels)
+    if model is None:
+        return docs if rate >= cut else docs.limit(0)
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x = np.array([statistics(t or "") for t in batch.column(at).to_pylist()])
+                yield batch.filter(pa.array(held.value.probability(x) >= cut))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, line_dedup, line_repeats, near_dedup, packing, quality, url_filter, warc
+from . import decontaminate, exact_dedup, line_dedup, line_repeats, near_dedup, packing, quality, url_filter, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -131,3 +131,8 @@ SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, CAST(least(first, coalesce(n
   CAST(least(first, coalesce(near, first)) % 2147483648 AS INTEGER) AS keep_line_no, CASE WHEN near < first THEN 1 ELSE 0 END AS edits
 FROM r
 """
+
+
+@query
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
