@@ -1,10 +1,6 @@
-"""Registry of the engine's queries and the SQL each one is compared with."""
+"""All queries of the engine; importing the modules registers them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from . import privacy  # noqa: F401
+from .registry import ORACLES, QUERIES  # noqa: F401
