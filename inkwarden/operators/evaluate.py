@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import words
+from ..functions.text import let, words
 
 KEYS = ["entity_type", "start", "end"]
 
@@ -44,9 +44,9 @@ def rollup(found: DataFrame, truth: DataFrame, domain: str = "domain") -> DataFr
 def lexical_score(pairs: DataFrame, original: str = "original", synthesized: str = "synthesized") -> DataFrame:
     """precision, recall and f1 of greedy token matching with one-hot tokens: shares of tokens that the other text has too."""
     a, b = words(F.lower(original)), words(F.lower(synthesized))
-    rows = pairs.withColumns({"__a": a, "__b": b})
-    share = lambda x, y: F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(F.size(F.filter(x, lambda w: F.array_contains(y, w))) / F.size(x))
-    rows = rows.withColumn("precision", share(F.col("__b"), F.array_distinct("__a"))).withColumn("recall", share(F.col("__a"), F.array_distinct("__b"))).drop("__a", "__b")
+    share = lambda x, y: let(F.array_except(F.array_distinct(x), y), lambda gone: F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(F.size(F.filter(x, lambda w: ~F.array_contains(gone, w))) / F.size(x)))
+    scores = let(F.struct(a.alias("a"), b.alias("b")), lambda t: F.struct(share(t["b"], t["a"]).alias("precision"), share(t["a"], t["b"]).alias("recall")))
+    rows = pairs.withColumn("__s", scores).withColumn("precision", F.col("__s.precision")).withColumn("recall", F.col("__s.recall")).drop("__s")
     return rows.withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import dot, jaccard, latin_words
+from ..functions.text import dot, jaccard, latin_words, let
 
 DEDUP_AT = 0.85
 DEFAULT_BUDGET = 2048
@@ -85,16 +85,15 @@ def assemble(queries: DataFrame, chunks: DataFrame, k: int = 5, query_id: str =
     rows = queries.join(ranked_chunks(queries, chunks, depth or 20 * k, query_id), query_id, "left")
     budget = budget_or_default(F.col(budget_col)) if budget_col else F.lit(DEFAULT_BUDGET)
     rows = rows.withColumn("__unique", drop_similar(F.col("ranked"))).withColumn("__taken", within_budget(F.slice("__unique", 1, 2 * k), budget, k))
-    taken = F.coalesce("__taken", F.slice("ranked", 1, 0))
-    first = F.filter(taken, lambda x, i: ~F.exists(F.slice(taken, F.lit(1), i), lambda y: y["source_id"] == x["source_id"]))
-    return rows.select(
-        query_id,
-        context_text(taken).alias("context_text"),
-        F.transform(first, lambda x: F.struct(x["source_id"].alias("source_id"), x["source_name"].alias("source_name"), F.round(x["score"], 4).alias("relevance_score"))).alias("attributions"),
-        F.coalesce(F.aggregate(taken, F.lit(0), lambda a, x: a + x["tokens"]), F.lit(0)).alias("total_tokens"),
-        F.coalesce(F.size(taken), F.lit(0)).alias("chunks_used"),
-        F.coalesce(F.size("__unique"), F.lit(0)).alias("chunks_available"),
-    )
+    first = lambda t: F.filter(t, lambda x, i: ~F.exists(F.slice(t, F.lit(1), i), lambda y: y["source_id"] == x["source_id"]))
+    named = lambda t: F.transform(first(t), lambda x: F.struct(x["source_id"].alias("source_id"), x["source_name"].alias("source_name"), F.round(x["score"], 4).alias("relevance_score")))
+
+    def outcome(t):
+        return F.struct(context_text(t).alias("context_text"), named(t).alias("attributions"), F.aggregate(t, F.lit(0), lambda a, x: a + x["tokens"]).alias("total_tokens"), F.size(t).alias("chunks_used"))
+
+    rows = rows.select(query_id, let(F.coalesce("__taken", F.slice("ranked", 1, 0)), outcome).alias("o"), F.coalesce(F.size("__unique"), F.lit(0)).alias("chunks_available"))
+    count = lambda c: F.coalesce(F.col(f"o.{c}"), F.lit(0)).alias(c)
+    return rows.select(query_id, F.coalesce("o.context_text", F.lit("")).alias("context_text"), F.col("o.attributions").alias("attributions"), count("total_tokens"), count("chunks_used"), "chunks_available")
 
 
 def context_text(taken: Column) -> Column:

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import privacy, retrieval, scoring  # noqa: F401
+from . import engine, privacy, retrieval, scoring  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -155,10 +155,11 @@ def _(spark, sf_dir):
     return rounded(evaluate.rollup(*found_and_truth(spark, sf_dir)), "domain", "entity_type")
 
 
-@query("lexical_bertscore", f"""WITH p AS (SELECT a.doc_id, {WORDS.format(t="lower(a.text)")} AS a, {WORDS.format(t="lower(b.text)")} AS b FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1
-), s AS (SELECT doc_id, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE len(list_filter(b, lambda w: list_contains(list_distinct(a), w))) / CAST(len(b) AS DOUBLE) END AS p, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE len(list_filter(a, lambda w: list_contains(list_distinct(b), w))) / CAST(len(a) AS DOUBLE) END AS r
-  FROM p WHERE len(a) < 300 AND len(b) < 300)
-SELECT doc_id, round(CAST(p AS DOUBLE), 6) AS "precision", round(CAST(r AS DOUBLE), 6) AS recall, round(CAST(CASE WHEN p + r = 0 THEN 0.0 ELSE 2 * p * r / (p + r) END AS DOUBLE), 6) AS f1 FROM s""".replace("\n  FROM p WHERE len(a) < 300 AND len(b) < 300)", "\n  FROM p)"))
+@query("lexical_bertscore", f"""WITH t AS (SELECT doc_id, unnest({WORDS.format(t="lower(text)")}) AS w FROM documents), d AS (SELECT DISTINCT doc_id, w FROM t), n AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id
+), b AS (SELECT t.doc_id - 1 AS doc_id, count(*) AS c FROM t JOIN d ON d.doc_id = t.doc_id - 1 AND d.w = t.w GROUP BY ALL), a AS (SELECT t.doc_id, count(*) AS c FROM t JOIN d ON d.doc_id = t.doc_id + 1 AND d.w = t.w GROUP BY ALL
+), s AS (SELECT x.doc_id, coalesce(b.c / CAST(nb.n AS DOUBLE), 0.0) AS p, coalesce(a.c / CAST(na.n AS DOUBLE), 0.0) AS r FROM documents x JOIN documents y ON y.doc_id = x.doc_id + 1
+  LEFT JOIN n na ON na.doc_id = x.doc_id LEFT JOIN n nb ON nb.doc_id = y.doc_id LEFT JOIN a ON a.doc_id = x.doc_id LEFT JOIN b ON b.doc_id = x.doc_id)
+SELECT doc_id, round(CAST(p AS DOUBLE), 6) AS "precision", round(CAST(r AS DOUBLE), 6) AS recall, round(CAST(CASE WHEN p + r = 0 THEN 0.0 ELSE 2 * p * r / (p + r) END AS DOUBLE), 6) AS f1 FROM s""")
 def _(spark, sf_dir):
     d = docs(spark, sf_dir).select("doc_id", F.col("text").alias("original"))
     pairs = d.join(d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("original").alias("synthesized")), "doc_id")
