@@ -210,7 +210,8 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     out = "doc_id bigint, n_bytes bigint, n_tokens bigint"
     whole_rows = rows.filter(F.length("text") <= chunk).select("doc_id", n_bytes, "text").mapInArrow(short, out)
     starts = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / chunk).cast("int"))
-    cut = rows.filter(F.length("text") > chunk).select(F.monotonically_increasing_id().alias("row"), "doc_id", n_bytes, F.posexplode(F.transform(starts, lambda k: F.substring(text, k * chunk + 1, F.lit(chunk)))).alias("k", "chunk"))
+    numbered = rows.filter(F.length("text") > chunk).select(F.monotonically_increasing_id().alias("row"), "doc_id", n_bytes, "text")
+    cut = numbered.select("row", "doc_id", "n_bytes", F.posexplode(F.transform(starts, lambda k: F.substring(text, k * chunk + 1, F.lit(chunk)))).alias("k", "chunk"))
     maps = cut.mapInArrow(mapped, "row bigint, doc_id bigint, n_bytes bigint, k int, head string, count bigint, tail string")
     by_row = maps.groupBy("row", "doc_id", "n_bytes").agg(F.array_sort(F.collect_list(F.struct("k", "head", "count", "tail"))).alias("maps"))
     long_rows = by_row.select("doc_id", "n_bytes", "maps").mapInArrow(composed, out)
