@@ -45,8 +45,9 @@ def pieces_of(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: in
 def place(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """(bin, offset) of each item by the sum-of-squares rule, largest items first.
 
-    `open_bins[g]` counts bins with g tokens free, 0 < g < capacity. An item goes where the sum of squares of these counts
-    becomes smallest: into a bin with some gap, or into a new bin. Of equal choices the smallest gap wins.
+    `open_bins[g]` counts bins with g tokens free, 0 < g < capacity. Of the open bins that can take an item it goes to one of the gap
+    that leaves the sum of squares of these counts smallest; of equal choices the smallest gap wins. A bin is opened
+    only where none can take the item: with items in falling order this keeps the gaps apart without spending bins on it.
     """
     open_bins = np.zeros(capacity + 1, dtype=np.int64)
     stacks: list[list[int]] = [[] for _ in range(capacity + 1)]
@@ -54,15 +55,13 @@ def place(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     far = np.iinfo(np.int64).max
     for i in np.argsort(-sizes, kind="stable"):
         size = int(sizes[i])
-        gap, change = capacity, (2 * int(open_bins[capacity - size]) + 1 if size < capacity else 0)
+        gap = capacity
         counts = open_bins[size:capacity]
-        if len(counts):
-            grown = np.where(counts > 0, 2 * (open_bins[: capacity - size] - counts) + 2, far)
+        if counts.any():
+            grown = np.where(counts > 0, open_bins[: capacity - size] - counts, far)
             if counts[0]:
-                grown[0] = 1 - 2 * counts[0]  # the bin closes and no gap takes its place
-            best = int(np.argmin(grown))
-            if grown[best] <= change:
-                gap = size + best
+                grown[0] = -counts[0]  # the bin closes and no gap takes its place
+            gap = size + int(np.argmin(grown))
         if gap == capacity:
             b, bins = bins, bins + 1
         else:
