@@ -121,7 +121,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     from .pipelines import synthesize
 
-    return synthesize(docs(spark, sf_dir).limit(200).select("doc_id", F.col("lang").alias("domain"), F.col("text").alias("example_text"), F.col("source").alias("topic_hint")))
+    return synthesize(docs(spark, sf_dir).select("doc_id", F.col("lang").alias("domain"), F.col("text").alias("example_text"), F.col("source").alias("topic_hint")))
 
 
 # ------------------------------------------------------------------ parsing
