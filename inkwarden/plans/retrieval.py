@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.recognizers import REGISTRY, Recognizer
 from ..operators import chunk, detect, evaluate, retrieve
 from .privacy import docs, known, spans_sql
+from ..sources import files
 from .registry import query, table
 from .scoring import LATIN, WORDS
 
@@ -108,6 +109,28 @@ def found_and_truth(spark, sf_dir):
     return _spans(spark, sf_dir, [REGISTRY[t] for t in ("CREDIT_CARD", "EMAIL_ADDRESS", "IP_ADDRESS")]), _spans(spark, sf_dir, TRUTH)
 
 
+def corpus(spark, sf_dir):
+    """The documents with their found spans, written as a labelled JSON corpus and read back."""
+    d = detect.with_spans(docs(spark, sf_dir).select("doc_id", F.col("source").alias("domain"), "text"), ["EMAIL_ADDRESS", "IP_ADDRESS"])
+    entities = F.transform("spans", lambda s: F.struct(s["entity_type"].alias("entity_type"), s["start"].alias("start"), s["end"].alias("end")))
+    path = files.scratch(spark, "corpus")
+    files.write_corpus(d.select("domain", "text", entities.alias("entities")), path)
+    return files.partitioned_corpus(spark, path)
+
+
+CORPUS_SQL = f"(SELECT source AS domain, text, coalesce(n, 0) AS n FROM documents LEFT JOIN (SELECT doc_id, count(*) AS n FROM ({spans_sql('documents', *known('EMAIL_ADDRESS', 'IP_ADDRESS'))}) GROUP BY doc_id) USING (doc_id))"
+
+
+@query("corpus_scan", f"SELECT domain, text, CAST(n AS INTEGER) AS entities FROM {CORPUS_SQL}")
+def _(spark, sf_dir):
+    return corpus(spark, sf_dir).select("domain", "text", F.size("entities").alias("entities"))
+
+
+@query("corpus_by_domain", f"SELECT d AS domain, CAST(coalesce(count(n), 0) AS BIGINT) AS documents, CAST(coalesce(sum(n), 0) AS BIGINT) AS entities FROM (SELECT unnest(['src0', 'src1', 'missing']) AS d) LEFT JOIN {CORPUS_SQL} ON domain = d GROUP BY d")
+def _(spark, sf_dir):
+    return files.by_domain(corpus(spark, sf_dir), ["src0", "src1", "missing"])
+
+
 def confusion_sql(by: str) -> str:
     return f"""SELECT {by}, CAST(sum(CASE WHEN f AND t THEN 1 ELSE 0 END) AS BIGINT) AS tp, CAST(sum(CASE WHEN f AND NOT t THEN 1 ELSE 0 END) AS BIGINT) AS fp, CAST(sum(CASE WHEN t AND NOT f THEN 1 ELSE 0 END) AS BIGINT) AS fn FROM (
   SELECT doc_id, domain, entity_type, "start", "end", bool_or(f) AS f, bool_or(t) AS t FROM (SELECT doc_id, domain, entity_type, "start", "end", TRUE AS f, FALSE AS t FROM ({FOUND_SQL}) UNION ALL SELECT doc_id, domain, entity_type, "start", "end", FALSE, TRUE FROM ({TRUTH_SQL})) GROUP BY ALL) GROUP BY {by}"""

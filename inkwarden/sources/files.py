@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +19,23 @@ def labelled_corpus(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(domain.alias("domain"), "text", F.coalesce("entities", F.array().cast("array<struct<entity_type:string,start:int,end:int>>")).alias("entities")).filter(F.col("text").isNotNull())
 
 
+def write_corpus(rows: DataFrame, path: str) -> None:
+    """JSON lines in one folder per domain (domain, text, entities), which `partitioned_corpus` reads back."""
+    rows.select("domain", "text", "entities").write.partitionBy("domain").json(path)
+
+
+def partitioned_corpus(spark: SparkSession, path: str) -> DataFrame:
+    """A corpus with one folder per domain; a filter on the domain reads its folder only."""
+    rows = spark.read.schema(CORPUS + ", domain string").json(path)
+    return rows.select("domain", "text", F.coalesce("entities", F.array().cast("array<struct<entity_type:string,start:int,end:int>>")).alias("entities")).filter(F.col("text").isNotNull())
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share (spark.checkpoint.dir), or in a temporary one where none is set."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="inkwarden-")
+    return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def by_domain(corpus: DataFrame, domains: list[str]) -> DataFrame:
     """Documents and entities of each named domain; zero where it has no file."""
     spark = corpus.sparkSession
