@@ -24,23 +24,21 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> Dat
     return rows.withColumn("h", F.xxhash64("content"))
 
 
-def block_keys(content: Column, blocks: int) -> Column:
-    """Array of (key, size, mid): the line without each of its blocks.
+def block_keys(content: Column, n: Column, blocks: int) -> list[tuple[Column, int, Column]]:
+    """(key, longer, mid) for the line of `n` characters without each of its blocks.
 
     Two lines within one edit, the shorter of `size` characters, agree outside one of the `blocks` equal parts of those
-    `size` characters when the part before it is counted from the left and the part after it from the right. So a line of L
-    characters has keys as the shorter (size L) and as the longer (size L - 1) of a pair; mid is the part left out.
+    `size` characters when the part before it is counted from the left and the part after it from the right. So a line of n
+    characters has keys as the shorter (size n) and as the longer (size n - 1) of a pair; mid is the part left out.
     """
-    n = F.length(content)
     out = []
     for longer in (0, 1):
         size = n - longer
         for j in range(blocks):
             left, right = F.floor(size * j / blocks).cast("int"), size - F.floor(size * (j + 1) / blocks).cast("int")
-            prefix, suffix = F.substring(content, F.lit(1), left), F.substring(content, n - right + 1, right)
-            mid = F.substring(content, left + 1, n - left - right)
-            out.append(F.struct(F.xxhash64(size, F.lit(j), prefix, suffix).alias("key"), F.lit(longer).alias("longer"), mid.alias("mid")))
-    return F.array(*out)
+            parts = ([F.substring(content, F.lit(1), left)] if j else []) + ([F.substring(content, n - right + 1, right)] if j + 1 < blocks else [])
+            out.append((F.xxhash64(size, F.lit(j), *parts), longer, F.substring(content, left + 1, n - left - right)))
+    return out
 
 
 def shared_keys(rows: DataFrame) -> DataFrame:
@@ -50,8 +48,10 @@ def shared_keys(rows: DataFrame) -> DataFrame:
 
 def suspects_of(lines: DataFrame) -> DataFrame:
     """(content, h, first) of the lines that agree with a different line on one of two halves: all that can be one edit apart."""
-    keyed = lines.select("h", F.explode(F.transform(block_keys(F.col("content"), 2), lambda k: k["key"])).alias("key"))
-    near = settle(keyed.join(shared_keys(keyed), "key").select("h").distinct(), "line-suspects")
+    sized = lines.select("h", "content", F.length("content").alias("n"))
+    keys = F.array(*[key for key, _, _ in block_keys(F.col("content"), F.col("n"), 2)])
+    keyed = settle(sized.select("h", keys.alias("keys")).select("h", F.explode("keys").alias("key")), "line-keys")
+    near = settle(keyed.join(shared_keys(keyed), "key").select("h").distinct(), "line-suspects", narrow=True)
     return settle(lines.join(near, "h", "left_semi").groupBy("h", "content").agg(F.min("place").alias("first")), "lines")
 
 
@@ -63,7 +63,8 @@ def near_lines(suspects: DataFrame, blocks: int = 8) -> DataFrame:
     equal, which emits itself. Deletions are spelt out only inside a block outside of which another line agrees.
     In a group of equal variants only the earliest line is passed on, so groups give no pairs. Edit distance is then verified.
     """
-    keyed = suspects.select("h", "first", F.explode(block_keys(F.col("content"), blocks)).alias("k")).select("h", "first", "k.key", "k.longer", "k.mid")
+    keys = [F.struct(key.alias("key"), F.lit(longer).alias("longer"), mid.alias("mid")) for key, longer, mid in block_keys(F.col("content"), F.col("n"), blocks)]
+    keyed = suspects.withColumn("n", F.length("content")).select("h", "first", F.explode(F.array(*keys)).alias("k")).select("h", "first", "k.key", "k.longer", "k.mid")
     keyed = keyed.join(shared_keys(keyed), "key")
     mid, n = F.col("mid"), F.length("mid")
     cut = lambda i: F.concat(F.substring(mid, F.lit(1), i - 1), F.substring(mid, i + 1, n))
@@ -99,7 +100,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     near = near_lines(suspects_of(lines))
     narrow = lines.select("place", F.unhex(F.md5("content")).alias("digest"))
     firsts = narrow.groupBy("digest").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
-    repeated = settle(firsts.join(near, "first", "left").filter("n > 1 or near is not null").select("digest", "first", "near"), "line-firsts")
+    repeated = settle(firsts.join(near, "first", "left").filter("n > 1 or near is not null").select("digest", "first", "near"), "line-firsts", narrow=True)
     hit = narrow.join(repeated, "digest").filter("place > first or near is not null")
     keep = F.least("first", F.coalesce("near", "first"))
     line = lambda p: F.pmod(p, F.lit(STEP).cast("decimal(38,0)")).cast("int")
