@@ -27,9 +27,14 @@ def scratch_dir(spark: SparkSession) -> str:
     return "file://" + _LOCAL_DIRS[app]
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame as Parquet in the shared folder and read it back: the lineage ends in files that outlive executors."""
+def settle(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+    """Write a frame as Parquet in the shared folder and read it back: the lineage ends in files that outlive executors.
+
+    A narrow frame, of a few numbers a row, gets a file for eight shuffle partitions.
+    """
     spark = df.sparkSession
+    if narrow:
+        df = df.coalesce(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -133,6 +134,56 @@ def _alike(n: str, m: str):
     return 100 * F.least(n, m) >= PER_CENT * F.greatest(n, m)
 
 
+def _family_links(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Links between the outsiders (role 0) and all members (role 1) of one block of a family, one for each pair of components.
+
+    Members are indexed by shingle; an outsider's intersections are counts over the lists of its shingles.
+    """
+    seekers, others = pdf[pdf["role"] == 0], pdf[pdf["role"] == 1]
+    sets = [np.frombuffer(x, dtype=np.uint64) for x in others["shingles"]]
+    sizes = np.array([len(x) for x in sets], dtype=np.int64)
+    if not len(seekers) or not len(sets):
+        return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+    every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], owner[order]
+    ids, comps = others["v"].to_numpy(), others["comp"].to_numpy()
+    a, b = [], []
+    for v, comp, data in zip(seekers["v"], seekers["comp"], seekers["shingles"]):
+        x = np.frombuffer(data, dtype=np.uint64)
+        lo, hi = np.searchsorted(every, x, "left"), np.searchsorted(every, x, "right")
+        n = hi - lo
+        at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        same = np.bincount(owner[at], minlength=len(sets))
+        (hit,) = np.nonzero((100 * same >= PER_CENT * (len(x) + sizes - same)) & (comps != comp))
+        for k in hit[np.unique(comps[hit], return_index=True)[1]]:
+            a.append(v)
+            b.append(ids[k])
+    return pd.DataFrame({"a": np.array(a, dtype="int64"), "b": np.array(b, dtype="int64")})
+
+
+def family_links(members: DataFrame, nodes: DataFrame, comps: DataFrame, sets: DataFrame, seek: int = 200_000, index: int = 2_000_000) -> DataFrame:
+    """(a, b): the links that stars may have left out, between members of one bucket in different components.
+
+    A bucket that holds several components belongs to the family of its largest. Of a family, those outside the largest
+    component are compared with all members, in blocks of about `seek` and `index` shingles. Pairs are never rows: a block
+    gives only the links it finds, one for an outsider and component.
+    """
+    placed = members.join(comps, "v", "left").select("key", "v", "n", F.coalesce("comp", "v").alias("comp"))
+    sizes = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("size"))
+    split = sizes.groupBy("key").agg(F.max_by("comp", "size").alias("major"), F.count(F.lit(1)).alias("comps")).filter("comps > 1").select("key", "major")
+    family = settle(placed.join(split, "key").select("major", "v", "n", "comp").distinct(), "families", narrow=True)
+    outside = F.col("comp") != F.col("major")
+    total = family.groupBy("major").agg(F.sum(F.when(outside, F.col("n"))).alias("seek"), F.sum("n").alias("index"))
+    total = total.select("major", F.ceil(F.col("seek") / seek).cast("int").alias("xs"), F.ceil(F.col("index") / index).cast("int").alias("ys"))
+    rows = family.join(total, "major")
+    spread = lambda n: F.pmod(F.xxhash64("v"), F.col(n)).cast("int")
+    seekers = rows.filter(outside).select("major", "v", "comp", F.lit(0).alias("role"), spread("xs").alias("x"), F.explode(F.sequence(F.lit(0), F.col("ys") - 1)).alias("y"))
+    others = rows.select("major", "v", "comp", F.lit(1).alias("role"), F.explode(F.sequence(F.lit(0), F.col("xs") - 1)).alias("x"), spread("ys").alias("y"))
+    block = seekers.unionByName(others).join(sets, "v")
+    return block.groupBy("major", "x", "y").applyInPandas(_family_links, "a bigint, b bigint")
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row.
 
@@ -143,16 +194,16 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     3. Stars: every member of a bucket is compared with the bucket's smallest id, then with the member that has most
        confirmed links so far. All comparisons are made on full sets.
     4. What stars cannot settle: where a bucket still holds members of several components, those outside its largest are
-       compared with all members of other components, each pair once (in the first band it shares), so no link is lost.
+       compared with all members by an index of shingles, in blocks (`family_links`), so no link of a bucket is lost.
     5. Components of all links; a document takes its class's component.
 
     A text without words has no shingle, links to nothing and is its own component. Null text counts as empty. A row
-    with a null id links to nothing and has a null component. Ids are taken as unique; rows that repeat an id are one
-    document. Extra columns are ignored. No rows in, no rows out.
+    with a null id links to nothing and has a null component. Ids are taken as unique: rows that repeat an id each take the
+    component of their own text. Extra columns are ignored. No rows in, no rows out.
     """
     rows = settle(signatures(docs, id_col, text_col), "signatures")
     linkable = rows.filter("n_shingles > 0 and doc_id is not null")
-    classes = settle(linkable.groupBy("s0", "s1").agg(F.min("doc_id").alias("v")), "classes")
+    classes = settle(linkable.groupBy("s0", "s1").agg(F.min("doc_id").alias("v")), "classes", narrow=True)
     nodes = linkable.join(classes, (linkable["s0"] == classes["s0"]) & (linkable["s1"] == classes["s1"]) & (F.col("doc_id") == F.col("v"))).select("v", F.col("n_shingles").alias("n"), "bands").dropDuplicates(["v"])
     banded = nodes.select("v", "n", F.posexplode("bands").alias("band", "key"))
     shared = banded.groupBy("key").agg(F.min("v").alias("hub"), F.min_by("n", "v").alias("hub_n"), F.count(F.lit(1)).alias("members")).filter("members > 1")
@@ -160,8 +211,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     sets = settle(sets_of(docs, members.select("v").distinct(), id_col, text_col), "sets")
 
     def tested(pairs, name):
-        pairs = settle(pairs.distinct(), f"pairs-{name}")
-        return pairs, settle(confirmed(pairs, sets), f"links-{name}")
+        pairs = settle(pairs.distinct(), f"pairs-{name}", narrow=True)
+        return pairs, settle(confirmed(pairs, sets), f"links-{name}", narrow=True)
 
     first = members.filter("v <> hub").filter(_alike("n", "hub_n")).select(F.col("hub").alias("a"), F.col("v").alias("b"))
     pairs1, links1 = tested(first, "1")
@@ -178,27 +229,15 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         .join(pairs1, ["a", "b"], "left_anti")
     )
     pairs2, links2 = tested(second, "2")
-    comps = settle(components(links1.unionByName(links2)), "components-1")
+    comps = settle(components(links1.unionByName(links2)), "components-1", narrow=True)
 
-    placed = members.join(comps, "v", "left").select("key", "band", "v", "n", F.coalesce("comp", "v").alias("comp"))
-    sizes = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("size"))
-    split = sizes.groupBy("key").agg(F.max_by("comp", "size").alias("major"), F.count(F.lit(1)).alias("comps")).filter("comps > 1").select("key", "major")
-    open_rows = placed.join(split, "key").join(nodes.select("v", "bands"), "v").withColumn("minor", F.col("comp") != F.col("major"))
-    open_rows = settle(open_rows, "open")
-    x, y = open_rows.filter("minor").alias("x"), open_rows.alias("y")
-    earlier = F.expr("exists(sequence(0, x.band - 1), i -> x.band > 0 and i >= 0 and x.bands[i] = y.bands[i])")
-    third = (
-        x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & (~F.col("y.minor") | (F.col("x.v") < F.col("y.v"))) & _alike("x.n", "y.n") & ~F.when(F.col("x.band") > 0, earlier).otherwise(False))
-        .select(F.least("x.v", "y.v").alias("a"), F.greatest("x.v", "y.v").alias("b"))
-        .join(pairs1.unionByName(pairs2), ["a", "b"], "left_anti")
-    )
-    _, links3 = tested(third, "3")
+    links3 = settle(family_links(members, nodes, comps, sets), "links-3", narrow=True)
     over = links3.join(comps.select(F.col("v").alias("a"), F.col("comp").alias("ca")), "a", "left").join(comps.select(F.col("v").alias("b"), F.col("comp").alias("cb")), "b", "left")
     merged = components(over.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), "stars-b")
     merged = merged.select(F.col("v").alias("comp"), F.col("comp").alias("final"))
     lone = classes.select("v").join(comps, "v", "left").select("v", F.coalesce("comp", "v").alias("comp"))
     whole_comps = lone.join(merged, "comp", "left").select("v", F.coalesce("final", "comp").alias("component_id"))
-    by_class = settle(classes.join(whole_comps, "v").select("s0", "s1", "component_id"), "class-components")
+    by_class = settle(classes.join(whole_comps, "v").select("s0", "s1", "component_id"), "class-components", narrow=True)
     found = linkable.select("doc_id", "n_shingles", "s0", "s1").join(by_class, ["s0", "s1"]).select("doc_id", "n_shingles", "component_id")
     alone = rows.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return found.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
