@@ -1,42 +1,153 @@
-"""Repeated passages by hashing lines and their sentences."""
+"""Repeated passages by hashing windows of words, cut into groups by their content, and sentences."""
 
 from __future__ import annotations
 
-import hashlib
 import re
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import settle
 
-UNITS = "doc_id bigint, unit int, start int, stop int, words int, d0 bigint, d1 bigint"
+PIECES = "doc_id bigint, at int, words int, start int, stop int, anchor bigint, d0 bigint, d1 bigint"
 #: A unit ends after sentence punctuation and white space, or at a line end.
 _UNIT = re.compile(r"[^\s](?:[^\n.!?]|[.!?](?!\s))*[.!?]*")
-_BLANK = re.compile(r"\W+")
-
-
-def units_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Sentences within lines, with code-point offsets and a 128-bit digest of the normalised text.
-
-    Normalised: lower case, each run of characters other than letters and digits one space. Units without any are left out.
+#: Odd multipliers of the two polynomial hashes; each is 3 modulo 8, so that powers differ in a low bit.
+_BASES = (0x9E3779B97F4A7C13, 0xC2B2AE3D27D4EB4B)
+
+
+def _mix(x: np.ndarray, salt: int) -> np.ndarray:
+    x = (x + np.uint64(salt)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+@lru_cache(2)
+def _kinds() -> np.ndarray:
+    """For each code point: 1 for letters, digits and the underscore, 2 for white space, else 0."""
+    return np.array([1 if c.isalnum() or c == "_" else 2 if c.isspace() else 0 for c in map(chr, range(0x110000))], np.uint8)
+
+
+@lru_cache(64)
+def _powers(base: int, bits: int) -> np.ndarray:
+    out = np.full(1 << bits, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+class _Sums:
+    """Polynomial hashes modulo 2^64 of any ranges of a sequence, from its prefix sums."""
+
+    def __init__(self, values: np.ndarray, base: int):
+        bits = max(10, len(values).bit_length())
+        self.inverse = _powers(pow(base, -1, 1 << 64), bits)
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * _powers(base, bits)[: len(values)], dtype=np.uint64)])
+
+    def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        return (self.sums[stop] - self.sums[start]) * self.inverse[start]
+
+
+class _Words:
+    """The words of a text: runs of letters and digits, lower-cased, as two hashes each, with code-point offsets."""
+
+    def __init__(self, text: str):
+        low = text.lower()
+        if len(low) != len(text):  # one letter grows in lower case
+            low = text.replace("İ", "i").lower()
+        code = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
+        kind = _kinds()[code]
+        step = np.diff(np.concatenate([[0], (kind == 1).view(np.int8), [0]]))
+        self.starts, self.stops = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+        self.blanks, self.length = np.flatnonzero(kind == 2), len(code)
+        self.n = len(self.starts)
+        value = _mix(code.astype(np.uint64), 1)
+        self.hashes = [_mix(_Sums(value, b).of(self.starts, self.stops), b >> 8) for b in _BASES]
+        self.sums = [_Sums(h, b) for h, b in zip(self.hashes, _BASES)]
+
+    def digests(self, first: np.ndarray, last: np.ndarray, salt: int = 2) -> list[np.ndarray]:
+        """Two hashes of the words first..last-1."""
+        return [_mix(s.of(first, last), salt).view(np.int64) for s in self.sums]
+
+    def offsets(self, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where words first..last-1 begin and end, with the punctuation that white space or an end of the text sets off."""
+        ends = np.concatenate([[0], self.stops])
+        blank = np.concatenate([[-1], self.blanks, [self.length]])
+        start = self.starts[first]
+        left = blank[np.searchsorted(blank, start) - 1] + 1
+        start = np.where(left >= ends[first], left, start)
+        stop = self.stops[last - 1]
+        right = blank[np.searchsorted(blank, stop)]
+        return start, np.where(right <= np.concatenate([self.starts, [self.length]])[last], right, stop)
+
+
+def _slid(x: np.ndarray, width: int) -> np.ndarray:
+    """Minimum of each `width` neighbours."""
+    have = 1
+    while have < width:
+        by = min(have, width - have)
+        x, have = np.minimum(x[:-by], x[by:]), have + by
+    return x
+
+
+def _batch(rows):
+    """A batch of (doc_id, at, words, start, stop, anchor or None, d0, d1), all but the id arrays."""
+    ids = [r[0] for r in rows for _ in range(len(r[1]))]
+    many = lambda k, kind: pa.array(np.concatenate([r[k] for r in rows]).astype(np.int64)).cast(kind)
+    anchors = np.concatenate([np.zeros(len(r[1]), np.int64) if r[5] is None else r[5] for r in rows])
+    none = np.concatenate([np.full(len(r[1]), r[5] is None) for r in rows])
+    columns = [pa.array(ids, pa.int64()), *[many(k, pa.int32()) for k in range(1, 5)], pa.array(anchors, pa.int64(), mask=none), many(6, pa.int64()), many(7, pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in PIECES.split(", ")])
+
+
+def pieces(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """All sentences within lines (their `anchor` is null), and all windows of `width` words in groups.
+
+    A group holds neighbouring windows with the same smallest hash of a few words, its `anchor`: those within the words
+    at..at+words-1. Equal windows have equal anchors, whatever surrounds them. d0, d1 are a digest of a row's words.
     """
+    gram = max(1, width // 5)
 
     def cut(batches):
         for batch in batches:
+            out = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                out = []
-                for k, m in enumerate(_UNIT.finditer(text)):
-                    key = _BLANK.sub(" ", m[0].lower()).strip()
-                    if key:
-                        h = hashlib.blake2b(key.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-                        out.append((doc_id, k, m.start(), m.end(), key.count(" ") + 1, int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True)))
-                if out:
-                    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names="doc_id unit start stop words d0 d1".split())
+                w = _Words(text)
+                if w.n == 0:
+                    continue
+                first, last = np.searchsorted(w.starts, np.array([m.span() for m in _UNIT.finditer(text)])).T
+                first, last = first[last > first], last[last > first]
+                out.append((doc_id, first, last - first, *w.offsets(first, last), None, *w.digests(first, last, 4)))
+                if w.n >= width:
+                    at = np.arange(w.n - gram + 1)
+                    least = _slid(_mix(w.sums[0].of(at, at + gram), 3), width - gram + 1)
+                    first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+                    last = np.concatenate([first[1:], [len(least)]]) + (width - 1)
+                    out.append((doc_id, first, last - first, *w.offsets(first, last), least[first].view(np.int64), *w.digests(first, last)))
+            if out:
+                yield _batch(out)
+
+    return docs.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string")).filter(F.length(text_col) > 0).mapInArrow(cut, PIECES)
+
+
+def single_windows(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """The windows of `groups` (doc_id, at, words), each a row with its own digest; anchors are 0."""
+    by_doc = groups.groupBy("doc_id").agg(F.collect_list("at").alias("at"), F.collect_list("words").alias("words"))
+
+    def cut(batches):
+        for batch in batches:
+            for doc_id, text, at, words in zip(*[c.to_pylist() for c in batch.columns]):
+                w = _Words(text)
+                first = np.unique(np.concatenate([np.arange(a, a + n - width + 1) for a, n in zip(at, words)]))
+                first = first[first <= w.n - width]
+                if len(first):
+                    last = first + width
+                    yield _batch([(doc_id, first, last - first, *w.offsets(first, last), np.zeros_like(first), *w.digests(first, last))])
 
-    return docs.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string")).filter(F.length(text_col) > 0).mapInArrow(cut, UNITS)
+    texts = docs.select(F.col(id_col).cast("bigint").alias("__id"), F.col(text_col).cast("string").alias("__text")).filter(F.length("__text") >= width)
+    return texts.join(by_doc, F.col("__id").eqNullSafe(F.col("doc_id"))).select("__id", "__text", "at", "words").mapInArrow(cut, PIECES)
 
 
 def place_code(doc_id, unit):
@@ -44,29 +155,44 @@ def place_code(doc_id, unit):
     return (F.coalesce(doc_id, F.lit(2**63 - 1)).cast("decimal(19,0)") * F.lit(2**31).cast("decimal(10,0)") + unit.cast("decimal(10,0)")).cast("decimal(38,0)")
 
 
+def with_first(rows: DataFrame, width: int) -> DataFrame:
+    """`rows` with keep_doc_id, the document that has the row's digest first, and `repeat`: that place lies before, for windows without overlap."""
+    rows = rows.withColumn("place", place_code(F.col("doc_id"), F.col("at")))
+    firsts = rows.groupBy("d0", "d1").agg(F.min("place").alias("first"), F.min_by("doc_id", "place").alias("keep_doc_id"), F.count(F.lit(1)).alias("__n")).filter("__n > 1").drop("__n")
+    apart = F.when(F.col("anchor").isNull(), 1).otherwise(width)
+    return rows.join(firsts, ["d0", "d1"], "left").withColumn("repeat", F.coalesce(F.col("place") - F.col("first") >= apart, F.lit(False))).drop("place", "first", "d0", "d1")
+
+
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 40) -> DataFrame:
     """Spans to remove: doc_id, start, stop (code points of the original text), words, units, keep_doc_id.
 
-    Units of all documents are grouped by digest; the occurrence first by (doc_id, position) is kept and every later one,
-    in another document or the same, is a repeat. Neighbouring repeats of a document form a run, and a run of at least
-    `min_words` words is a span to remove; shorter runs (a common heading, a stock sentence) stay. keep_doc_id is the
-    document of the first occurrence of the run's longest unit.
+    Words are compared in lower case and without what stands between them. Repeats are windows of `min_words` words, wherever
+    they begin and end, and sentences within lines that occur before, in an earlier document or further up in the same
+    (windows without overlap). So every verbatim repeat of that many words is found whole. Repeats that touch or overlap
+    form a run, and a run of at least `min_words` words is a span; shorter runs (a common heading, a stock sentence) stay.
+    `units` is how many windows fit in the span, keep_doc_id the document of an earlier occurrence of its longest part.
 
-    The digest groups are combined map-side, so a unit that a third of all rows share is one row a task; the join that
-    brings first occurrences back to their units splits hot digests under adaptive execution. The last step groups by
-    document only. Null and empty texts have no units; rows with equal ids count as one document; a null id comes last.
+    Windows are compared in two steps. Groups of windows (see `pieces`) that occur before as a whole are repeats; inside
+    long copies that is all there is. Of the other groups, those whose anchor several of them share are compared window by
+    window. Groups left out of the second step are represented in it by the first of their kind, so nothing is lost.
+
+    The digest groups are combined map-side, so a window that a third of all rows share is one row a task; the join that
+    brings first occurrences back splits hot digests under adaptive execution. The last step groups by document only.
+    Pieces are cut anew where they are needed twice: that costs less than storing them. Null and empty texts have none;
+    rows with equal ids count as one document; a null id comes last.
     """
-    units = settle(units_of(docs, id_col, text_col), "units").withColumn("place", place_code(F.col("doc_id"), F.col("unit")))
-    firsts = units.groupBy("d0", "d1").agg(F.min("place").alias("first"), F.min_by("doc_id", "place").alias("keep_doc_id"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    repeats = units.join(firsts, ["d0", "d1"]).filter("place > first").select("doc_id", "unit", "start", "stop", "words", "keep_doc_id")
-    by_doc = Window.partitionBy("doc_id").orderBy("unit")
-    runs = repeats.withColumn("run", F.col("unit") - F.dense_rank().over(by_doc))
-    return (
-        runs.groupBy("doc_id", "run")
-        .agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("words").alias("words"), F.count(F.lit(1)).alias("units"), F.max_by("keep_doc_id", "words").alias("keep_doc_id"))
-        .filter(F.col("words") >= min_words)
-        .drop("run")
-    )
+    compared = settle(with_first(pieces(docs, id_col, text_col, min_words), min_words), "pieces")
+    rest = compared.filter("not repeat and anchor is not null")
+    shared = rest.groupBy("anchor").agg(F.sum(F.when(F.col("words") >= 2 * min_words, 2).otherwise(1)).alias("__n")).filter("__n > 1").select("anchor")
+    rest = rest.select("doc_id", "at", "words", "anchor").join(shared, "anchor", "left_semi")
+    windows = with_first(single_windows(docs, rest, id_col, text_col, min_words), min_words)
+    found = compared.filter("repeat").unionByName(windows.filter("repeat")).withColumn("end", F.col("at") + F.col("words"))
+    by_doc = Window.partitionBy("doc_id").orderBy("at", "end")
+    before = F.max("end").over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
+    runs = found.withColumn("new", F.when(F.col("at") <= before, 0).otherwise(1)).withColumn("run", F.sum("new").over(by_doc.rowsBetween(Window.unboundedPreceding, 0)))
+    long = F.max("end") - F.min("at")
+    spans = runs.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), long.cast("bigint").alias("words"), (long - (min_words - 1)).cast("bigint").alias("units"), F.max_by("keep_doc_id", "words").alias("keep_doc_id"))
+    return spans.filter(F.col("words") >= min_words).drop("run")
 
 
 def remove_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

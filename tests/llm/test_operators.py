@@ -177,6 +177,38 @@ def test_repeated_spans(spark):
     assert line_repeats.repeated_spans(odd(spark)).count() >= 0 and line_repeats.repeated_spans(docs(spark, [])).count() == 0
 
 
+def brute_force_repeats(texts, width):
+    """Words of each text in a window that occurs before without overlap, as sets of word numbers."""
+    words = [re.findall(r"\w+", (t or "").lower()) for t in texts]
+    first, out = {}, []
+    for i, ws in enumerate(words):
+        out.append(set())
+        for k in range(len(ws) - width + 1):
+            j, p = first.setdefault(tuple(ws[k : k + width]), (i, k))
+            if j < i or p + width <= k:
+                out[i].update(range(k, k + width))
+    return out
+
+
+def test_repeats_that_begin_and_end_inside_sentences(spark):
+    rng = random.Random(14)
+    texts = [None, "x " * 3000, "X, " * 50, "a b c " * 60]
+    for n in range(38, 62):  # a passage of n words, cut out of the middle of sentences, without a sentence end or with some
+        p = prose(rng, n).split()
+        p = [w + "." if n % 3 == 0 and i % 8 == 7 else w for i, w in enumerate(p)]
+        texts += [f"{prose(rng, 7)} {' '.join(p)} {prose(rng, 9)}. --- {prose(rng, 5)}", f"«{prose(rng, 3).upper()} {', '.join(p)}-{prose(rng, 30)}."]
+    texts += [texts[4] + "\n***\n" + texts[10], " ".join(texts[20].split()[3:30] + texts[22].split()[5:28])]
+    for width in (40, 7):
+        want = brute_force_repeats(texts, width)
+        got = [set() for _ in texts]
+        for r in line_repeats.repeated_spans(docs(spark, texts), min_words=width).collect():
+            at = [k for k, m in enumerate(re.finditer(r"\w+", texts[r["doc_id"]])) if r["start"] <= m.start() and m.end() <= r["stop"]]
+            assert len(at) == r["words"] and r["keep_doc_id"] <= r["doc_id"]
+            got[r["doc_id"]].update(at)
+        assert got == want
+    assert all(want[i] for i in range(9, 52, 2))
+
+
 # ---------------------------------------------------------------- 7
 def test_leaks_and_paraphrases(spark):
     rng = random.Random(5)
