@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,3 +60,38 @@ def order_code(primary: Column, doc_id: Column) -> Column:
     step = F.lit("18446744073709551616").cast("decimal(20,0)")
     last = F.lit(2**63 - 1)
     return (primary.cast("decimal(10,0)") * step - F.coalesce(doc_id.cast("bigint"), last).cast("decimal(19,0)")).cast("decimal(38,0)")
+
+
+def summed(rows: DataFrame, of_batch, width: int = 16) -> list[np.ndarray] | None:
+    """Add up the arrays that `of_batch(*arrow columns)` gives, in each task first, then in `width` tasks, then in one.
+
+    The driver gets a single row, whose size does not depend on the input; None without rows.
+    """
+
+    def pack(sums):
+        with io.BytesIO() as f:
+            np.savez(f, *sums)
+            return pa.RecordBatch.from_arrays([pa.array([f.getvalue()], pa.binary())], names=["sums"])
+
+    def unpack(data):
+        with np.load(io.BytesIO(data)) as f:
+            return [f[k] for k in f.files]
+
+    def total(found):
+        sums = None
+        for new in found:
+            sums = new if sums is None else [a + b for a, b in zip(sums, new)]
+        if sums is not None:
+            yield pack(sums)
+
+    def partial(batches):
+        return total(of_batch(*b.columns) for b in batches if b.num_rows)
+
+    def merge(batches):
+        return total(unpack(x.as_buffer()) for b in batches for x in b.column(0))
+
+    parts = rows.mapInArrow(partial, "sums binary")
+    for tasks in (width, 1):
+        parts = parts.repartition(tasks).mapInArrow(merge, "sums binary")
+    out = parts.collect()
+    return unpack(bytes(out[0].sums)) if out else None

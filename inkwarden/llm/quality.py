@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import io
 import math
 from collections import Counter
 
@@ -11,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, whole
+from .common import settle, summed, whole
 
 FEATURES = [
     "log_chars", "log_words", "log_lines", "word_length", "word_length_sd", "long_words", "short_words", "letters", "upper", "digits", "spaces",
@@ -61,44 +60,6 @@ def fold(doc_id):
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(4))
 
 
-def summed(rows: DataFrame, columns: list[str], per_batch, width: int = 16) -> list[np.ndarray]:
-    """Add up the arrays that `per_batch(*numpy columns)` gives, in each task first, then in `width` tasks, then here."""
-
-    def pack(sums):
-        with io.BytesIO() as f:
-            np.savez(f, *sums)
-            return f.getvalue()
-
-    def partial(batches):
-        sums = None
-        for batch in batches:
-            if batch.num_rows:
-                got = per_batch(*[np.array(c.to_pylist(), dtype=float) for c in batch.columns])
-                sums = got if sums is None else [a + b for a, b in zip(sums, got)]
-        if sums is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([pack(sums)], pa.binary())], names=["sums"])
-
-    def unpack(data):
-        with np.load(io.BytesIO(data)) as f:
-            return [f[k] for k in f.files]
-
-    def merge(batches):
-        sums = None
-        for batch in batches:
-            for data in batch.column(0).to_pylist():
-                got = unpack(data)
-                sums = got if sums is None else [a + b for a, b in zip(sums, got)]
-        if sums is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([pack(sums)], pa.binary())], names=["sums"])
-
-    out = None
-    parts = rows.select(*columns).mapInArrow(partial, "sums binary")
-    for r in parts.repartition(width).mapInArrow(merge, "sums binary").collect():  # `width` rows at most
-        got = unpack(bytes(r.sums))
-        out = got if out is None else [a + b for a, b in zip(out, got)]
-    return out
-
-
 class Model:
     """Standardised statistics -> random Fourier features -> ridge score -> isotonic probability."""
 
@@ -134,13 +95,18 @@ def isotonic(positions: np.ndarray, rate: np.ndarray, weight: np.ndarray) -> tup
     return np.array([b[0] for b in blocks]), np.array([b[1] for b in blocks])
 
 
+def totals(labelled: DataFrame, of_arrays):
+    """The sums over all rows of what `of_arrays(x, y)` gives for a batch of them."""
+    return summed(labelled.select("x", "y"), lambda x, y: of_arrays(x.flatten().to_numpy().reshape(len(y), -1), y.to_numpy()))
+
+
 def fit(labelled: DataFrame, features: int = 256, width: float = 4.0, ridge: float = 1.0, seed: int = 7, bins: int = 1000) -> Model | None:
     """Fit on `labelled` (x, y, calibrate): the ridge on rows to fit, the isotonic map on the others. None without both classes.
 
     What reaches the driver are sums whose size depends on `features` and `bins` only.
     """
     fit_rows, held = labelled.filter("not calibrate"), labelled.filter("calibrate")
-    first = summed(fit_rows, ["x", "y"], lambda x, y: [np.array([len(y), y.sum()]), x.sum(0), (x * x).sum(0)])
+    first = totals(fit_rows, lambda x, y: [np.array([len(y), y.sum()]), x.sum(0), (x * x).sum(0)])
     if first is None or not 0 < first[0][1] < first[0][0]:
         return None
     n, positive = first[0]
@@ -153,14 +119,14 @@ def fit(labelled: DataFrame, features: int = 256, width: float = 4.0, ridge: flo
         w = np.where(y > 0, *balance)[:, None]
         return [p.T @ (w * p), (w * p).T @ (2 * y - 1)]
 
-    gram, right = summed(fit_rows, ["x", "y"], normal)
+    gram, right = totals(fit_rows, normal)
     model.theta = np.linalg.solve(gram + ridge * np.eye(len(gram)), right)
 
     def histogram(x, y):
         k = np.clip(((model.raw(x) + 2) * (bins / 4)).astype(int), 0, bins - 1)
         return [np.bincount(k, minlength=bins).astype(float), np.bincount(k, weights=y, minlength=bins)]
 
-    got = summed(held, ["x", "y"], histogram) or summed(fit_rows, ["x", "y"], histogram)
+    got = totals(held, histogram) or totals(fit_rows, histogram)
     count, ones = got
     (k,) = np.nonzero(count)
     prior = positive / n
