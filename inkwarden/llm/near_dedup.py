@@ -212,7 +212,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def tested(pairs, name):
         pairs = settle(pairs.distinct(), f"pairs-{name}", narrow=True)
-        return pairs, settle(confirmed(pairs, sets), f"links-{name}", narrow=True)
+        return pairs, settle(confirmed(pairs, sets), f"links-{name}")
 
     first = members.filter("v <> hub").filter(_alike("n", "hub_n")).select(F.col("hub").alias("a"), F.col("v").alias("b"))
     pairs1, links1 = tested(first, "1")
@@ -231,7 +231,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     pairs2, links2 = tested(second, "2")
     comps = settle(components(links1.unionByName(links2)), "components-1", narrow=True)
 
-    links3 = settle(family_links(members, nodes, comps, sets), "links-3", narrow=True)
+    links3 = settle(family_links(members, nodes, comps, sets), "links-3")
     over = links3.join(comps.select(F.col("v").alias("a"), F.col("comp").alias("ca")), "a", "left").join(comps.select(F.col("v").alias("b"), F.col("comp").alias("cb")), "b", "left")
     merged = components(over.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), "stars-b")
     merged = merged.select(F.col("v").alias("comp"), F.col("comp").alias("final"))
