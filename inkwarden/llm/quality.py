@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import settle, summed, whole
 
@@ -173,17 +174,29 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", cut: float = 0.7) -> DataFrame:
-    """The rows of `docs` that are not rejected, with all their columns; scored row by row, so no text is shuffled."""
-    model, rate = fitted(with_statistics(docs, id_col, text_col), labels)
+    """The rows of `docs` that are not rejected, with all their columns, by the scores of `quality_scores`.
+
+    Statistics are computed once and written beside the rows, so no text is shuffled. Nulls, empty texts, repeated rows and
+    missing labels are treated as in `quality_scores`; without labels of both classes all rows stay or all go.
+    """
+    at = docs.columns.index(text_col)
+    measured = T.StructType([*docs.schema.fields, T.StructField("__x", T.ArrayType(T.DoubleType()))])
+
+    def measure(batches):
+        for batch in batches:
+            x = pa.array([statistics(t or "") for t in batch.column(at).to_pylist()], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, x], names=[*batch.schema.names, "__x"])
+
+    rows = settle(docs.mapInArrow(measure, measured), "measured")
+    model, rate = fitted(rows.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col("__x").alias("x")), labels)
     if model is None:
         return docs if rate >= cut else docs.limit(0)
     held = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index(text_col)
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                x = np.array([statistics(t or "") for t in batch.column(at).to_pylist()])
-                yield batch.filter(pa.array(held.value.probability(x) >= cut))
+                x = batch.column(batch.num_columns - 1).flatten().to_numpy().reshape(batch.num_rows, -1)
+                yield batch.select(range(batch.num_columns - 1)).filter(pa.array(held.value.probability(x) >= cut))
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(run, docs.schema)
