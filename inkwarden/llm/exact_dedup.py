@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ASCII_SPACE, order_code, settle, whole
@@ -64,6 +64,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents of `docs` that `exact_dedup` keeps, with all their columns."""
-    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__kept_id")), "left_semi")
+    """One document of each group of `docs` with equal texts, the one `exact_dedup` keeps, with all its columns.
+
+    Rows are told apart by id and text, so a repeated id may keep some of its rows. Of rows with one id and equal texts the
+    longest stays, and one of them where they do not differ.
+    """
+    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("__kept_id"), F.col("text_sha256").alias("__kept_text")).distinct()
+    marked = docs.withColumn("__id", F.col(id_col).cast("bigint")).withColumn("__text", F.sha2(normalised(F.col(text_col)), 256))
+    found = marked.join(kept, F.col("__id").eqNullSafe(F.col("__kept_id")) & (F.col("__text") == F.col("__kept_text")), "left_semi")
+    best = Window.partitionBy("__text", "__id").orderBy(F.length(whole(F.col(text_col))).desc())
+    return found.withColumn("__row", F.row_number().over(best)).filter("__row = 1").select(*docs.columns)

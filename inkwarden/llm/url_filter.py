@@ -85,7 +85,7 @@ def gram_slots(text: str, order: int, size: int):
     return full, ctx
 
 
-def fit(labelled: DataFrame, order: int = 4, bits: int = 18, strength: float = 1.0) -> CharModels:
+def fit(labelled: DataFrame, order: int = 4, bits: int = 18, strength: float = 30.0) -> CharModels:
     """Count every row of `labelled` (text, rejected). Each task adds up its own counts; slots are then summed by key."""
     size = 1 << bits
 
@@ -153,5 +153,5 @@ def url_verdicts(pages: DataFrame, rules=RULES, seeds=SEEDS) -> DataFrame:
     models = fit(labelled.filter("not held"))
     cut = threshold(scored(labelled.filter("held").select("text", "rejected"), models))
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
-    by_model = F.when(F.col("score") < F.lit(min(cut, 0.0)), "block").otherwise("allow")
+    by_model = F.when(F.col("score") < F.lit(cut), "block").otherwise("allow")
     return scored(rows, models).select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, by_model).alias("verdict"), "score")

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from .common import scratch_dir
 
 LINE = "\r\n"
+#: Fixed value: the profile that the format demands of revisit records.
+REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def _record_id(page_id: Column, digest: Column) -> Column:
@@ -49,6 +51,7 @@ def write_archive(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z
         _line("WARC-Date", F.lit(date)),
         _line("WARC-Target-URI", F.col("url")),
         _line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
+        _line("WARC-Profile", F.when(again, F.lit(REVISIT))),
         _line("WARC-Refers-To", F.when(again, _record_id(F.col("first_page"), F.col("digest")))),
         _line("Content-Type", F.lit("text/html; charset=utf-8")),
         _line("Content-Length", F.when(again, F.lit(0)).otherwise(F.col("n"))),
@@ -71,7 +74,10 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 
     Each stored payload is hashed anew, once; a payload that does not match its digest, or two under one digest, stop the job.
     """
-    store = spark.read.parquet(f"{path}/payloads").select(
+    stored = spark.read.parquet(f"{path}/payloads")
+    if not stored.groupBy("digest").count().filter("count > 1").isEmpty():
+        raise ValueError("two payloads share one SHA-256 digest")
+    store = stored.select(
         "digest",
         F.when(F.sha2("payload", 256) == F.col("digest"), F.col("payload")).otherwise(F.raise_error(F.lit("a stored payload does not match its digest")).cast("binary")).alias("payload"),
     )

@@ -414,3 +414,45 @@ def test_queries_match_sql(spark):
     assert {int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES} == set(range(1, 11))
     for name, sql in ORACLES.items():
         assert compare(spark, con, QUERIES[name], sql, "/root/testdata/sf0.001") == "", name
+
+
+def test_keep_one_tells_rows_with_one_id_apart(spark):
+    d = docs(spark, [(7, "aa b"), (7, "zz"), (9, "zz "), (8, "q"), (8, "q"), (None, "n"), (None, "n ")])
+    assert sorted((r["doc_id"] or -1, r["text"]) for r in exact_dedup.keep_one(d).collect()) == [(-1, "n "), (7, "aa b"), (8, "q"), (9, "zz ")]
+
+
+def test_leaks_beside_brute_force(spark):
+    """Windows with too little in common are passed over; all that a search without a latent space finds must be there."""
+    rng = random.Random(15)
+    common = ["the", "of", "and", "to", "in"]
+    rich = lambda n: " ".join(rng.choice(common) if rng.random() < 0.4 else "z%d" % rng.randrange(3000) for _ in range(n))
+    items = [rich(n) for n in (3, 9, 16, 24, 30, 37, 48, 100)]
+    texts = [rich(rng.randint(1, 300)) for _ in range(60)]
+    for item in items:
+        for drop in (0, 0.15, 0.3, 0.6):
+            w = [x if rng.random() >= drop else "y%d" % rng.randrange(10**6) for x in item.split()]
+            texts.append(f"{rich(rng.randint(0, 90))} {' '.join(w)} {rich(rng.randint(0, 90))}")
+    texts = texts + [texts[-1], None, ""]
+    want = set()
+    for j, item in enumerate(items):
+        w = item.split()
+        n = -(-len(w) // 48)
+        for k in range(n):
+            part = w[len(w) * k // n : len(w) * (k + 1) // n]
+            for i, t in enumerate(texts):
+                ws = (t or "").split()
+                for at in range(max(1, len(ws) - len(part) + 1)):  # regions of the part's length: what any window around them holds too
+                    if decontaminate.common_subsequence(part, ws[at : at + len(part)]) >= 0.7 * len(part):
+                        want.add((i, j))
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs(spark, texts), spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")).collect()}
+    assert len(want & got) >= 0.97 * len(want) and len(want) > 20
+    assert all(i >= 60 or (i, j) in want for i, j in got if j > 1)  # nothing in clean documents
+
+
+def test_url_models_block_hosts_without_their_seed_word(spark):
+    rng = random.Random(16)
+    rows = [f"http://{rng.choice(['casino', 'poker', 'bets'])}-{rng.choice(['royal', 'jackpot', 'slots'])}.com/spin/{rng.randrange(99)}" if i % 5 == 0 else f"http://{rng.choice(['news', 'museum', 'garden'])}-{rng.choice(['daily', 'house', 'plants'])}.com/read/{rng.randrange(99)}" for i in range(1000)]
+    unseen = ["http://jackpotslots.com/spin/1", "http://royalslots.com/spin/3", "http://gardenhouse.com/read/2", "http://dailymuseum.com/read/5"]
+    pages = spark.createDataFrame(list(enumerate(unseen + rows)), "page_id bigint, url string")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.url_verdicts(pages).collect()}
+    assert [got[i] for i in range(4)] == ["block", "block", "allow", "allow"]
