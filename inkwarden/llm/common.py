@@ -64,10 +64,10 @@ def order_code(primary: Column, doc_id: Column) -> Column:
     return (primary.cast("decimal(10,0)") * step - F.coalesce(doc_id.cast("bigint"), last).cast("decimal(19,0)")).cast("decimal(38,0)")
 
 
-def summed(rows: DataFrame, of_batch, width: int = 16) -> list[np.ndarray] | None:
-    """Add up the arrays that `of_batch(*arrow columns)` gives, in each task first, then in `width` tasks, then in one.
+def summed(rows: DataFrame, of_batch, fan_in: int = 32) -> list[np.ndarray] | None:
+    """Add up the arrays that `of_batch(*arrow columns)` gives, in each task first, then in rounds of `fan_in` sums a task.
 
-    The driver gets a single row, whose size does not depend on the input; None without rows.
+    No task reads more than `fan_in` sums and the driver gets one, whose size does not depend on the input; None without rows.
     """
 
     def pack(sums):
@@ -93,7 +93,9 @@ def summed(rows: DataFrame, of_batch, width: int = 16) -> list[np.ndarray] | Non
         return total(unpack(x.as_buffer()) for b in batches for x in b.column(0))
 
     parts = rows.mapInArrow(partial, "sums binary")
-    for tasks in (width, 1):
+    tasks = rows.rdd.getNumPartitions()
+    while tasks > 1:
+        tasks = -(-tasks // fan_in)
         parts = parts.repartition(tasks).mapInArrow(merge, "sums binary")
     out = parts.collect()
     return unpack(bytes(out[0].sums)) if out else None
