@@ -53,10 +53,10 @@ def _(spark, sf_dir):
     return customers(spark, sf_dir).select("c_custkey", tpl.prompt(sample_messages()).alias("prompt"))
 
 
-@query("synth_prompt", "SELECT doc_id, 'Write a realistic ' || lang || ' document. Use invented names and numbers only.' || CASE WHEN doc_id % 2 = 0 THEN chr(10) || chr(10) || 'Topic: ' || source ELSE '' END || CASE WHEN length(text) > 0 THEN chr(10) || chr(10) || 'Follow the structure of this example:' || chr(10) || substr(text, 1, 200) ELSE '' END AS prompt FROM documents")
+@query("synth_prompt", "SELECT doc_id, 'Write a realistic ' || lang || ' document. Use invented names and numbers only.' || CASE WHEN doc_id % 2 = 0 THEN chr(10) || chr(10) || 'Topic: ' || source ELSE '' END || CASE WHEN length(text) > 0 THEN chr(10) || chr(10) || 'Follow the structure of this example:' || chr(10) || text ELSE '' END AS prompt FROM documents")
 def _(spark, sf_dir):
     topic = F.when(F.col("doc_id") % 2 == 0, F.col("source")).otherwise(F.lit(""))
-    return docs(spark, sf_dir).select("doc_id", tpl.synthesis_prompt(F.col("lang"), F.substring("text", 1, 200), topic).alias("prompt"))
+    return docs(spark, sf_dir).select("doc_id", tpl.synthesis_prompt(F.col("lang"), F.col("text"), topic).alias("prompt"))
 
 
 @query("legal_terms", "SELECT c_custkey, replace(replace('Under the agreement with ' || c_name || ', this agreement ends.', ' the agreement ', ' the Agreement '), ' this agreement ', ' this Agreement ') AS text FROM customer")
@@ -156,10 +156,10 @@ def _(spark, sf_dir):
 SCHEMA = {"required": ["id", "age"], "properties": {"id": {"type": "integer"}, "name": {"type": "string", "maxLength": 5}, "ok": {"type": "boolean"}}}
 
 
-@query("schema_validate", """SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN ['Missing required field: ''age''', 'Field ''name'': string too long (max 5)'] ELSE ['Missing required field: ''age''', 'Field ''name'': string too long (max 5)', 'Field ''ok'': expected type ''boolean'', got ''string'''] END AS errors
-FROM customer WHERE c_custkey % 5 < 3""")
+@query("schema_validate", """SELECT c_custkey, CASE WHEN c_custkey % 5 >= 3 THEN ['id: required', 'age: required'] WHEN c_custkey % 2 = 0 THEN ['age: required', 'name: longer than 5']
+ELSE ['age: required', 'name: longer than 5', 'ok: boolean wanted, string found'] END AS errors FROM customer""")
 def _(spark, sf_dir):
-    rows = raw(spark, sf_dir).filter(F.col("c_custkey") % 5 < 3).withColumn("v", parse.parse_json(F.col("raw")))
+    rows = raw(spark, sf_dir).withColumn("v", parse.parse_json(F.col("raw")))
     return rows.select("c_custkey", parse.schema_errors(F.col("v"), SCHEMA).alias("errors"))
 
 
