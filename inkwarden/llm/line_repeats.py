@@ -1,8 +1,7 @@
-"""Repeated passages by hashing windows of words, cut into groups by their content, and sentences."""
+"""Repeated passages by hashing paragraphs of words that begin anywhere, gathered into groups by their content."""
 
 from __future__ import annotations
 
-import re
 from functools import lru_cache
 
 import numpy as np
@@ -13,8 +12,6 @@ from pyspark.sql import functions as F
 from .common import settle
 
 PIECES = "doc_id bigint, at int, words int, start int, stop int, anchor bigint, d0 bigint, d1 bigint"
-#: A unit ends after sentence punctuation and white space, or at a line end.
-_UNIT = re.compile(r"[^\s](?:[^\n.!?]|[.!?](?!\s))*[.!?]*")
 #: Odd multipliers of the two polynomial hashes; each is 3 modulo 8, so that powers differ in a low bit.
 _BASES = (0x9E3779B97F4A7C13, 0xC2B2AE3D27D4EB4B)
 
@@ -93,17 +90,15 @@ def _slid(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def _batch(rows):
-    """A batch of (doc_id, at, words, start, stop, anchor or None, d0, d1), all but the id arrays."""
+    """A batch of (doc_id, at, words, start, stop, anchor, d0, d1), all but the id arrays."""
     ids = [r[0] for r in rows for _ in range(len(r[1]))]
     many = lambda k, kind: pa.array(np.concatenate([r[k] for r in rows]).astype(np.int64)).cast(kind)
-    anchors = np.concatenate([np.zeros(len(r[1]), np.int64) if r[5] is None else r[5] for r in rows])
-    none = np.concatenate([np.full(len(r[1]), r[5] is None) for r in rows])
-    columns = [pa.array(ids, pa.int64()), *[many(k, pa.int32()) for k in range(1, 5)], pa.array(anchors, pa.int64(), mask=none), many(6, pa.int64()), many(7, pa.int64())]
+    columns = [pa.array(ids, pa.int64()), *[many(k, pa.int32()) for k in range(1, 5)], *[many(k, pa.int64()) for k in range(5, 8)]]
     return pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in PIECES.split(", ")])
 
 
 def pieces(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """All sentences within lines (their `anchor` is null), and all windows of `width` words in groups.
+    """All windows of `width` words, in groups.
 
     A group holds neighbouring windows with the same smallest hash of a few words, its `anchor`: those within the words
     at..at+words-1. Equal windows have equal anchors, whatever surrounds them. d0, d1 are a digest of a row's words.
@@ -115,11 +110,6 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame
             out = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 w = _Words(text)
-                if w.n == 0:
-                    continue
-                first, last = np.searchsorted(w.starts, np.array([m.span() for m in _UNIT.finditer(text)])).T
-                first, last = first[last > first], last[last > first]
-                out.append((doc_id, first, last - first, *w.offsets(first, last), None, *w.digests(first, last, 4)))
                 if w.n >= width:
                     at = np.arange(w.n - gram + 1)
                     least = _slid(_mix(w.sums[0].of(at, at + gram), 3), width - gram + 1)
@@ -129,7 +119,7 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame
             if out:
                 yield _batch(out)
 
-    return docs.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string")).filter(F.length(text_col) > 0).mapInArrow(cut, PIECES)
+    return docs.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string")).filter(F.length(text_col) >= width).mapInArrow(cut, PIECES)
 
 
 def single_windows(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -155,44 +145,69 @@ def place_code(doc_id, unit):
     return (F.coalesce(doc_id, F.lit(2**63 - 1)).cast("decimal(19,0)") * F.lit(2**31).cast("decimal(10,0)") + unit.cast("decimal(10,0)")).cast("decimal(38,0)")
 
 
+def place_doc(place):
+    """The document of a place."""
+    step = F.lit(2**31).cast("decimal(38,0)")
+    doc = ((place - F.pmod(place, step)) / F.lit(2**31).cast("decimal(10,0)")).cast("bigint")
+    return F.nullif(doc, F.lit(2**63 - 1))
+
+
+def looked_up(rows: DataFrame, found: DataFrame, keys: list[str], most_hot: int = 1000) -> DataFrame:
+    """Left join of `rows` with `found`, which is stored, unique by `keys` and counts in `n` the rows each of its own meets.
+
+    Keys of more than one in `most_hot` of the rows counted are less than `most_hot` many; they are broadcast, and the rows
+    that meet them are dealt by place, so that no task receives a hot key.
+    """
+    others = [c for c in found.columns if c not in (*keys, "n")]
+    hot = F.col("n") * most_hot > (found.agg(F.sum("n")).first()[0] or 0)
+    renamed = lambda df, by: df.select(*[F.col(c).alias(f"__{by}_{c}") for c in [*keys, *others]], F.lit(True).alias(f"__{by}"))
+    on = lambda by: [F.col(k) == F.col(f"__{by}_{k}") for k in keys]
+    rows = rows.join(F.broadcast(renamed(found.filter(hot), "hot")), on("hot"), "left")
+    rows = rows.withColumn("__deal", F.when(F.col("__hot"), F.xxhash64("doc_id", "at")).otherwise(F.lit(0)))
+    cold = renamed(found.filter(~hot), "cold").withColumn("__none", F.lit(0).cast("bigint"))
+    rows = rows.join(cold, [*on("cold"), F.col("__deal") == F.col("__none")], "left")
+    own = [c for c in rows.columns if not c.startswith("__")]
+    return rows.select(*own, *[F.coalesce(f"__hot_{c}", f"__cold_{c}").alias(c) for c in others], F.coalesce("__hot", "__cold", F.lit(False)).alias("met"))
+
+
 def with_first(rows: DataFrame, width: int) -> DataFrame:
-    """`rows` with keep_doc_id, the document that has the row's digest first, and `repeat`: that place lies before, for windows without overlap."""
+    """Stored `rows` with keep_doc_id, the document that has the row's digest first, and `repeat`: that place lies before, without overlap of windows."""
     rows = rows.withColumn("place", place_code(F.col("doc_id"), F.col("at")))
-    firsts = rows.groupBy("d0", "d1").agg(F.min("place").alias("first"), F.min_by("doc_id", "place").alias("keep_doc_id"), F.count(F.lit(1)).alias("__n")).filter("__n > 1").drop("__n")
-    apart = F.when(F.col("anchor").isNull(), 1).otherwise(width)
-    return rows.join(firsts, ["d0", "d1"], "left").withColumn("repeat", F.coalesce(F.col("place") - F.col("first") >= apart, F.lit(False))).drop("place", "first", "d0", "d1")
+    firsts = rows.groupBy("d0", "d1").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    compared = looked_up(rows, settle(firsts, "piece-firsts"), ["d0", "d1"]).withColumn("repeat", F.coalesce(F.col("place") - F.col("first") >= width, F.lit(False)))
+    return compared.withColumn("keep_doc_id", place_doc(F.col("first"))).drop("place", "first", "met", "d0", "d1")
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 40) -> DataFrame:
     """Spans to remove: doc_id, start, stop (code points of the original text), words, units, keep_doc_id.
 
-    Words are compared in lower case and without what stands between them. Repeats are windows of `min_words` words, wherever
-    they begin and end, and sentences within lines that occur before, in an earlier document or further up in the same
-    (windows without overlap). So every verbatim repeat of that many words is found whole. Repeats that touch or overlap
-    form a run, and a run of at least `min_words` words is a span; shorter runs (a common heading, a stock sentence) stay.
-    `units` is how many windows fit in the span, keep_doc_id the document of an earlier occurrence of its longest part.
+    Words are compared in lower case and without what stands between them. The units are all paragraphs of `min_words`
+    words, wherever they begin and end; one that occurs before, in an earlier document or further up in the same (without
+    overlap), is a repeat. So every verbatim repeat of that many words is found whole, and nothing else is. Repeats that
+    touch or overlap form a span. `units` is how many units fit in the span, keep_doc_id the document of an earlier
+    occurrence of its longest part.
 
-    Windows are compared in two steps. Groups of windows (see `pieces`) that occur before as a whole are repeats; inside
-    long copies that is all there is. Of the other groups, those whose anchor several of them share are compared window by
-    window. Groups left out of the second step are represented in it by the first of their kind, so nothing is lost.
+    Units are compared in two steps. Groups of them (see `pieces`) that occur before as a whole are repeats; inside
+    long copies that is all there is. Of the other groups, those whose anchor several of them share are compared unit
+    by unit. Groups left out of the second step are represented in it by the first of their kind, so nothing is lost.
 
-    The digest groups are combined map-side, so a window that a third of all rows share is one row a task; the join that
-    brings first occurrences back splits hot digests under adaptive execution. The last step groups by document only.
-    Pieces are cut anew where they are needed twice: that costs less than storing them. Null and empty texts have none;
-    rows with equal ids count as one document; a null id comes last.
+    Digests are combined map-side, so a unit that a third of all rows share is one row a task; first occurrences are
+    brought back by `looked_up`, which keeps hot digests and anchors from meeting in one task. The last step groups by
+    document only. Null and empty texts have none; rows with equal ids count as one document, so rows repeated whole are no
+    repeats of each other; a null id comes last. Extra columns are ignored. No rows in, no rows out.
     """
-    compared = settle(with_first(pieces(docs, id_col, text_col, min_words), min_words), "pieces")
-    rest = compared.filter("not repeat and anchor is not null")
-    shared = rest.groupBy("anchor").agg(F.sum(F.when(F.col("words") >= 2 * min_words, 2).otherwise(1)).alias("__n")).filter("__n > 1").select("anchor")
-    rest = rest.select("doc_id", "at", "words", "anchor").join(shared, "anchor", "left_semi")
-    windows = with_first(single_windows(docs, rest, id_col, text_col, min_words), min_words)
+    compared = settle(with_first(settle(pieces(docs, id_col, text_col, min_words), "pieces"), min_words), "compared")
+    rest = compared.filter("not repeat").select("doc_id", "at", "words", "anchor")
+    kinds = rest.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.max("words").alias("most")).filter(F.expr(f"n > 1 or most >= {2 * min_words}")).drop("most")
+    rest = looked_up(rest, settle(kinds, "anchors"), ["anchor"]).filter("met")
+    windows = with_first(settle(single_windows(docs, rest, id_col, text_col, min_words), "windows"), min_words)
     found = compared.filter("repeat").unionByName(windows.filter("repeat")).withColumn("end", F.col("at") + F.col("words"))
     by_doc = Window.partitionBy("doc_id").orderBy("at", "end")
     before = F.max("end").over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
     runs = found.withColumn("new", F.when(F.col("at") <= before, 0).otherwise(1)).withColumn("run", F.sum("new").over(by_doc.rowsBetween(Window.unboundedPreceding, 0)))
     long = F.max("end") - F.min("at")
     spans = runs.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), long.cast("bigint").alias("words"), (long - (min_words - 1)).cast("bigint").alias("units"), F.max_by("keep_doc_id", "words").alias("keep_doc_id"))
-    return spans.filter(F.col("words") >= min_words).drop("run")
+    return spans.drop("run")
 
 
 def remove_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
