@@ -64,6 +64,24 @@ def order_code(primary: Column, doc_id: Column) -> Column:
     return (primary.cast("decimal(10,0)") * step - F.coalesce(doc_id.cast("bigint"), last).cast("decimal(19,0)")).cast("decimal(38,0)")
 
 
+def looked_up(rows: DataFrame, found: DataFrame, keys: list[str], deal: list[str], most_hot: int = 1000) -> DataFrame:
+    """Left join of `rows` with `found`, which is stored, unique by `keys` and counts in `n` the rows each of its own meets.
+
+    Keys of more than one in `most_hot` of the rows counted are less than `most_hot` many; they are broadcast, and the rows
+    that meet them are dealt by the columns `deal`, so that no task receives a hot key.
+    """
+    others = [c for c in found.columns if c not in (*keys, "n")]
+    hot = F.col("n") * most_hot > (found.agg(F.sum("n")).first()[0] or 0)
+    renamed = lambda df, by: df.select(*[F.col(c).alias(f"__{by}_{c}") for c in [*keys, *others]], F.lit(True).alias(f"__{by}"))
+    on = lambda by: [F.col(k) == F.col(f"__{by}_{k}") for k in keys]
+    rows = rows.join(F.broadcast(renamed(found.filter(hot), "hot")), on("hot"), "left")
+    rows = rows.withColumn("__deal", F.when(F.col("__hot"), F.xxhash64(*deal)).otherwise(F.lit(0)))
+    cold = renamed(found.filter(~hot), "cold").withColumn("__none", F.lit(0).cast("bigint"))
+    rows = rows.join(cold, [*on("cold"), F.col("__deal") == F.col("__none")], "left")
+    own = [c for c in rows.columns if not c.startswith("__")]
+    return rows.select(*own, *[F.coalesce(f"__hot_{c}", f"__cold_{c}").alias(c) for c in others], F.coalesce("__hot", "__cold", F.lit(False)).alias("met"))
+
+
 def summed(rows: DataFrame, of_batch, fan_in: int = 32) -> list[np.ndarray] | None:
     """Add up the arrays that `of_batch(*arrow columns)` gives, in each task first, then in rounds of `fan_in` sums a task.
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import looked_up, settle
 
 PIECES = "doc_id bigint, at int, words int, start int, stop int, anchor bigint, d0 bigint, d1 bigint"
 #: Odd multipliers of the two polynomial hashes; each is 3 modulo 8, so that powers differ in a low bit.
@@ -152,29 +152,11 @@ def place_doc(place):
     return F.nullif(doc, F.lit(2**63 - 1))
 
 
-def looked_up(rows: DataFrame, found: DataFrame, keys: list[str], most_hot: int = 1000) -> DataFrame:
-    """Left join of `rows` with `found`, which is stored, unique by `keys` and counts in `n` the rows each of its own meets.
-
-    Keys of more than one in `most_hot` of the rows counted are less than `most_hot` many; they are broadcast, and the rows
-    that meet them are dealt by place, so that no task receives a hot key.
-    """
-    others = [c for c in found.columns if c not in (*keys, "n")]
-    hot = F.col("n") * most_hot > (found.agg(F.sum("n")).first()[0] or 0)
-    renamed = lambda df, by: df.select(*[F.col(c).alias(f"__{by}_{c}") for c in [*keys, *others]], F.lit(True).alias(f"__{by}"))
-    on = lambda by: [F.col(k) == F.col(f"__{by}_{k}") for k in keys]
-    rows = rows.join(F.broadcast(renamed(found.filter(hot), "hot")), on("hot"), "left")
-    rows = rows.withColumn("__deal", F.when(F.col("__hot"), F.xxhash64("doc_id", "at")).otherwise(F.lit(0)))
-    cold = renamed(found.filter(~hot), "cold").withColumn("__none", F.lit(0).cast("bigint"))
-    rows = rows.join(cold, [*on("cold"), F.col("__deal") == F.col("__none")], "left")
-    own = [c for c in rows.columns if not c.startswith("__")]
-    return rows.select(*own, *[F.coalesce(f"__hot_{c}", f"__cold_{c}").alias(c) for c in others], F.coalesce("__hot", "__cold", F.lit(False)).alias("met"))
-
-
 def with_first(rows: DataFrame, width: int) -> DataFrame:
     """Stored `rows` with keep_doc_id, the document that has the row's digest first, and `repeat`: that place lies before, without overlap of windows."""
     rows = rows.withColumn("place", place_code(F.col("doc_id"), F.col("at")))
     firsts = rows.groupBy("d0", "d1").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    compared = looked_up(rows, settle(firsts, "piece-firsts"), ["d0", "d1"]).withColumn("repeat", F.coalesce(F.col("place") - F.col("first") >= width, F.lit(False)))
+    compared = looked_up(rows, settle(firsts, "piece-firsts"), ["d0", "d1"], ["doc_id", "at"]).withColumn("repeat", F.coalesce(F.col("place") - F.col("first") >= width, F.lit(False)))
     return compared.withColumn("keep_doc_id", place_doc(F.col("first"))).drop("place", "first", "met", "d0", "d1")
 
 
@@ -199,7 +181,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     compared = settle(with_first(settle(pieces(docs, id_col, text_col, min_words), "pieces"), min_words), "compared")
     rest = compared.filter("not repeat").select("doc_id", "at", "words", "anchor")
     kinds = rest.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.max("words").alias("most")).filter(F.expr(f"n > 1 or most >= {2 * min_words}")).drop("most")
-    rest = looked_up(rest, settle(kinds, "anchors"), ["anchor"]).filter("met")
+    rest = looked_up(rest, settle(kinds, "anchors"), ["anchor"], ["doc_id", "at"]).filter("met")
     windows = with_first(settle(single_windows(docs, rest, id_col, text_col, min_words), "windows"), min_words)
     found = compared.filter("repeat").unionByName(windows.filter("repeat")).withColumn("end", F.col("at") + F.col("words"))
     by_doc = Window.partitionBy("doc_id").orderBy("at", "end")

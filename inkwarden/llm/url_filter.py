@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import ASCII_LOWER, ASCII_UPPER
+from .common import ASCII_LOWER, ASCII_UPPER, looked_up, settle
 
 #: Fixed values: (host, path, verdict).
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -37,88 +33,36 @@ def rule_for(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return name, verdict
 
 
-@dataclass
-class CharModels:
-    """Counts of hashed contexts and context-character pairs, for accepted (row 0) and rejected (row 1) URLs.
+def grams_of(text: Column, order: int) -> Column:
+    """Each character of `text` after the `order` characters before it, for those that lack some U+0002."""
+    padded = F.concat(F.lit("\x02" * order), text)
+    places = F.when(F.length(text) > 0, F.sequence(F.lit(1), F.length(text)))
+    return F.transform(places, lambda i: F.substring(padded, i, F.lit(order + 1)))
 
-    Both tables have `1 << bits` slots whatever the input, which bounds what is sent to the executors.
-    """
 
-    pairs: np.ndarray
-    contexts: np.ndarray
-    order: int
-    strength: float
-
-    def score(self, text: str) -> float:
-        """Mean over characters of log p_accepted - log p_rejected; 0 for the empty text.
-
-        Each order's estimate is smoothed towards that of the next shorter context, down to uniform bytes.
-        """
-        slots = gram_slots(text, self.order, self.pairs.shape[1])
-        if slots is None:
-            return 0.0
-        ratio = np.zeros(slots[0].shape[1])
-        for sign, pairs, contexts in ((1, self.pairs[0], self.contexts[0]), (-1, self.pairs[1], self.contexts[1])):
-            p = np.full(ratio.shape, 1 / 256)
-            for k in range(self.order + 1):
-                p = (pairs[slots[0][k]] + self.strength * p) / (contexts[slots[1][k]] + self.strength)
-            ratio += sign * np.log(p)
-        return float(ratio.mean())
-
-
-def gram_slots(text: str, order: int, size: int):
-    """Slots of (context + character, context) for each order 0..order and character; None for the empty text."""
-    b = np.frombuffer(b"\x02" * order + text.encode("utf-8", "replace"), dtype=np.uint8).astype(np.uint64)
-    n = len(b) - order
-    if n == 0:
-        return None
-    mix = np.uint64(0x9E3779B97F4A7C15)
-    here = b[order:]
-    full, ctx = np.empty((order + 1, n), np.int64), np.empty((order + 1, n), np.int64)
-    h = np.zeros(n, dtype=np.uint64)
-    for k in range(order + 1):
-        if k:
-            h = (h + b[order - k : order - k + n] + np.uint64(1)) * mix
-            h ^= h >> np.uint64(29)
-        for out, v in ((full, (h + here + np.uint64(257 + k)) * mix), (ctx, (h + np.uint64(k)) * mix)):
-            out[k] = ((v ^ (v >> np.uint64(31))) % np.uint64(size)).astype(np.int64)
-    return full, ctx
-
-
-def fit(labelled: DataFrame, order: int = 4, bits: int = 18, strength: float = 30.0) -> CharModels:
-    """Count every row of `labelled` (text, rejected). Each task adds up its own counts; slots are then summed by key."""
-    size = 1 << bits
-
-    def count(batches):
-        sums = np.zeros((2, 2, size), dtype=np.int64)
-        for batch in batches:
-            for text, rejected in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                slots = gram_slots(text, order, size)
-                if slots is not None:
-                    for which in (0, 1):
-                        np.add.at(sums[which, int(rejected)], slots[which].ravel(), 1)
-        flat = sums.ravel()
-        (slot,) = np.nonzero(flat)
-        yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int64()), pa.array(flat[slot], pa.int64())], names=["slot", "n"])
-
-    total = labelled.select("text", "rejected").mapInArrow(count, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    table = np.zeros(4 * size)
-    table[total["slot"].to_numpy(np.int64)] = total["n"].to_numpy(float)
-    pairs, contexts = table.reshape(2, 2, size)
-    return CharModels(pairs, contexts, order, strength)
-
-
-def scored(rows: DataFrame, models: CharModels) -> DataFrame:
-    """`rows` with a column `score` for their column `text`."""
-    held = rows.sparkSession.sparkContext.broadcast(models)
-    at = rows.columns.index("text")
-
-    def run(batches):
-        for batch in batches:
-            s = pa.array([held.value.score(t) for t in batch.column(at).to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, s], names=[*batch.schema.names, "score"])
-
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())]))
+def char_models(grams: DataFrame, order: int, strength: float) -> DataFrame:
+    """(gram, n, gain) of every different gram of `grams` (gram, counted, rejected).
+
+    gain is log p_accepted - log p_rejected of the gram's last character after the others, by exact counts of the `counted`
+    rows of each class. Each order's estimate is smoothed towards that of the next shorter context, down to 1/256. The
+    table grows with the input. n is how often the gram occurs. Counts are combined map-side; a gram meets as many longer
+    ones as there are characters, so none of the joins here has a hot key.
+    """
+    of = lambda rejected: F.sum(F.when(F.col("counted") & (F.col("rejected") == rejected), 1).otherwise(0))
+    counts = settle(grams.groupBy("gram").agg(of(False).alias("acc"), of(True).alias("rej"), F.count(F.lit(1)).alias("n")), "url-grams")
+    levels = [counts.select("gram", "acc", "rej")]
+    for k in range(order, 0, -1):
+        levels.append(levels[-1].groupBy(F.substring("gram", 2, k).alias("gram")).agg(F.sum("acc").alias("acc"), F.sum("rej").alias("rej")))
+    model = None
+    for k, level in enumerate(reversed(levels)):
+        level = level.withColumn("context", F.substring("gram", 1, k))
+        level = level.join(level.groupBy("context").agg(F.sum("acc").alias("of_acc"), F.sum("rej").alias("of_rej")), "context")
+        if model is not None:
+            level = level.withColumn("shorter", F.substring("gram", 2, k)).join(model.select(F.col("gram").alias("shorter"), "p_acc", "p_rej"), "shorter")
+        below = lambda c: F.lit(1 / 256) if k == 0 else F.col(c)
+        p = lambda c: ((F.col(c) + strength * below(f"p_{c}")) / (F.col(f"of_{c}") + strength)).alias(f"p_{c}")
+        model = settle(level.select("gram", p("acc"), p("rej")), f"url-model-{k}")
+    return settle(model.select("gram", F.log(F.col("p_acc") / F.col("p_rej")).alias("gain")).join(counts.select("gram", "n"), "gram"), "url-model")
 
 
 def threshold(held_out: DataFrame, bins: int = 400, span: float = 4.0) -> float:
@@ -136,22 +80,30 @@ def threshold(held_out: DataFrame, bins: int = 400, span: float = 4.0) -> float:
     return float((best[0] + best[-1]) / 2 * (2 * span / bins) - span)
 
 
-def url_verdicts(pages: DataFrame, rules=RULES, seeds=SEEDS) -> DataFrame:
+def url_verdicts(pages: DataFrame, rules=RULES, seeds=SEEDS, order: int = 4, strength: float = 30.0) -> DataFrame:
     """page_id, host, path, rule, verdict and score of every row.
 
     The longest rule whose host is the URL's or a parent of it, and whose path begins the URL's, decides. Other URLs are
     judged by two smoothed variable-order character models of host and path: one fitted on the URLs whose host has one of
     `seeds` as a whole label part, one on the rest; three quarters of the URLs (by hash) are counted, the other quarter sets the
-    cut of the length-normalised log-likelihood difference. Rules play no part in the fitting. Where a class has no
-    example, nothing is blocked by the models. Null urls have empty host and path, score 0 and are allowed unless the
-    cut lies above 0. Repeated rows get equal results. Extra columns are ignored. No rows in, no rows out.
+    cut of `score`, the length-normalised log-likelihood difference. Rules play no part in the fitting. Where a class has no
+    example, nothing is blocked by the models.
+
+    Counts are exact and as many as the URLs have grams. Each URL's grams look up their gain, so no task or driver holds the
+    model: Spark broadcasts it while its file is under the broadcast threshold, else joins; hot grams are dealt out.
+    Null urls have empty host and path, score 0 and are allowed unless the cut lies above 0. Repeated rows, null ids
+    included, get equal results. Extra columns are ignored. No rows in, no rows out.
     """
     url = F.col("url").cast("string")
     rows = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path")).withColumn("text", F.concat("host", "path"))
-    seeded = F.arrays_overlap(F.split("host", "[^a-z0-9]+"), F.array(*[F.lit(s) for s in seeds]))
-    labelled = rows.filter("text <> ''").select("text", seeded.alias("rejected"), (F.pmod(F.crc32("text"), F.lit(4)) == 0).alias("held"))
-    models = fit(labelled.filter("not held"))
-    cut = threshold(scored(labelled.filter("held").select("text", "rejected"), models))
+    rejected = F.arrays_overlap(F.split("host", "[^a-z0-9]+"), F.array(*[F.lit(s) for s in seeds]))
+    held = F.pmod(F.crc32("text"), F.lit(4)) == 0
+    rows = settle(rows.select(F.monotonically_increasing_id().alias("row"), "page_id", "host", "path", "text", rejected.alias("rejected"), held.alias("held")), "urls")
+    grams = rows.select("row", (~F.col("held")).alias("counted"), "rejected", F.explode(grams_of(F.col("text"), order)).alias("gram"))
+    gains = looked_up(grams.select("row", "gram"), char_models(grams, order, strength), ["gram"], ["row"])
+    judged = rows.drop("text").join(gains.groupBy("row").agg(F.round(F.avg("gain"), 9).alias("score")), "row", "left").fillna(0.0, ["score"])
+    judged = settle(judged, "url-scores")
+    cut = threshold(judged.filter(F.col("held") & (F.concat("host", "path") != "")))
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
     by_model = F.when(F.col("score") < F.lit(cut), "block").otherwise("allow")
-    return scored(rows, models).select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, by_model).alias("verdict"), "score")
+    return judged.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, by_model).alias("verdict"), "score")
