@@ -8,19 +8,20 @@ from pyspark.sql import functions as F
 from .common import settle
 
 STEP = 2**31
+#: Shorter lines are compared for equality only: one edit of a few characters makes another word or number of them.
 MIN_CHARS = 20
 #: Fixed value: what is trimmed from both ends of a line before it is compared.
 TRIMMED = " \t\r\x0b\f"
 
 
-def lines_of(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    """(place, content, h) of each line with at least `min_chars` characters after trimming.
+def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(place, content, h) of each line with a character left after trimming.
 
     place is one decimal that sorts by document, then line; a null id sorts last.
     """
     split = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(2**63 - 1)).alias("doc"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n", -1)).alias("line_no", "line"))
     place = (F.col("doc").cast("decimal(19,0)") * F.lit(STEP).cast("decimal(10,0)") + F.col("line_no").cast("decimal(10,0)")).cast("decimal(38,0)")
-    rows = split.select(place.alias("place"), F.btrim("line", F.lit(TRIMMED)).alias("content")).filter(F.length("content") >= min_chars)
+    rows = split.select(place.alias("place"), F.btrim("line", F.lit(TRIMMED)).alias("content")).filter("content <> ''")
     return rows.withColumn("h", F.xxhash64("content"))
 
 
@@ -89,15 +90,15 @@ def near_lines(suspects: DataFrame, blocks: int = 8) -> DataFrame:
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """Lines to remove: doc_id, line_no (from 0), keep_doc_id, keep_line_no, edits.
 
-    Lines end at line feeds and are compared trimmed; those shorter than `min_chars` characters are never compared. A line
-    is removed when a line before it, by (doc_id, line_no), is equal to it (edits 0) or within one insertion, deletion or
-    substitution of a character (edits 1); keep_* names the earliest such line. Whether that line is itself removed plays no part.
+    Lines end at line feeds and are compared trimmed; empty ones never count. A line is removed when a line before it, by
+    (doc_id, line_no), is equal to it (edits 0) or, both having `min_chars` characters or more, within one insertion, deletion
+    or substitution of a character (edits 1); keep_* names the earliest such line. Whether that line is itself removed plays no part.
 
     Null and empty texts have no lines to compare; a null id sorts last and is returned as null; rows that repeat an id
     count as one document, of which equal lines with the same number are one. Extra columns are ignored. No rows in, no rows out.
     """
-    lines = lines_of(docs, id_col, text_col, min_chars)
-    near = near_lines(suspects_of(lines))
+    lines = lines_of(docs, id_col, text_col)
+    near = near_lines(suspects_of(lines.filter(F.length("content") >= min_chars)))
     narrow = lines.select("place", F.unhex(F.md5("content")).alias("digest"))
     firsts = narrow.groupBy("digest").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
     repeated = settle(firsts.join(near, "first", "left").filter("n > 1 or near is not null").select("digest", "first", "near"), "line-firsts", narrow=True)

@@ -111,13 +111,13 @@ ORACLES["op5_line_dedup"] = r"""
 WITH raw AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents
 ), l AS (
   SELECT doc_id, unnest(range(0, len(ls))) AS line_no, trim(unnest(ls), ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS c FROM raw
-), k AS (SELECT doc_id, line_no, c, doc_id * 2147483648 + line_no AS place FROM l WHERE length(c) >= 20
+), k AS (SELECT doc_id, line_no, c, doc_id * 2147483648 + line_no AS place FROM l WHERE c <> ''
 ), d AS (SELECT c, min(place) AS first FROM k GROUP BY c
 ), v AS (
-  SELECT DISTINCT c, first, i, substr(c, 1, i - 1) || substr(c, i + 1) AS s FROM (SELECT c, first, unnest(range(1, length(c) + 1)) AS i FROM d)
+  SELECT DISTINCT c, first, i, substr(c, 1, i - 1) || substr(c, i + 1) AS s FROM (SELECT c, first, unnest(range(1, length(c) + 1)) AS i FROM d WHERE length(c) >= 20)
 ), sub AS (SELECT c, first, min(first) OVER (PARTITION BY i, length(c), s) AS near FROM v
 ), ins AS (
-  SELECT a.c, a.first, b.first AS near FROM (SELECT DISTINCT c, first, s FROM v) a JOIN d b ON a.s = b.c
+  SELECT a.c, a.first, b.first AS near FROM (SELECT DISTINCT c, first, s FROM v) a JOIN d b ON a.s = b.c WHERE length(b.c) >= 20
 ), near AS (
   SELECT c, min(near) AS near FROM (
     SELECT c, near FROM sub WHERE near < first
