@@ -19,10 +19,10 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     place is one decimal that sorts by document, then line; a null id sorts last.
     """
-    split = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(2**63 - 1)).alias("doc"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n", -1)).alias("line_no", "line"))
+    trimmed = F.transform(F.split(F.col(text_col).cast("string"), "\n", -1), lambda x: F.btrim(x, F.lit(TRIMMED)))  # before the explode, so that each line is trimmed once
+    split = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(2**63 - 1)).alias("doc"), F.posexplode(trimmed).alias("line_no", "content"))
     place = (F.col("doc").cast("decimal(19,0)") * F.lit(STEP).cast("decimal(10,0)") + F.col("line_no").cast("decimal(10,0)")).cast("decimal(38,0)")
-    rows = split.select(place.alias("place"), F.btrim("line", F.lit(TRIMMED)).alias("content")).filter("content <> ''")
-    return rows.withColumn("h", F.xxhash64("content"))
+    return split.filter("content <> ''").select(place.alias("place"), "content").withColumn("h", F.xxhash64("content"))
 
 
 def block_keys(content: Column, n: Column, blocks: int) -> list[tuple[Column, int, Column]]:
