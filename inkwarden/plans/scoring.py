@@ -32,9 +32,10 @@ def _(spark, sf_dir):
     return chunk.chunks(docs(spark, sf_dir), "fixed", 2000, 200)
 
 
-@query("chunk_single", "SELECT doc_id, CAST(0 AS INTEGER) AS chunk_index, text FROM documents WHERE length(text) BETWEEN 1 AND 10000")
+@query("chunk_single", f"SELECT doc_id, chunk_index, text FROM ({FIXED_SQL.format(s=10000, o=500, step=9500)})")
 def _(spark, sf_dir):
-    return chunk.chunks(docs(spark, sf_dir).filter(F.length("text") <= 10000)).select("doc_id", "chunk_index", "text")
+    """Texts up to the default size are one chunk; longer ones are cut at the default size and overlap."""
+    return chunk.chunks(docs(spark, sf_dir), "fixed").select("doc_id", "chunk_index", "text")
 
 
 def ends_sql(pattern: str) -> str:
