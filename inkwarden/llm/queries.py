@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, line_dedup, line_repeats, near_dedup, packing, quality, token_counts, url_filter, warc
-from .common import table
+from . import chat, decontaminate, exact_dedup, filter_audit, line_dedup, line_repeats, near_dedup, packing, period_runs, quality, token_counts, url_filter, warc
+from .common import table, whole
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -141,3 +142,90 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = r"\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
+    return chat.chat_round_trip(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra))
+
+
+ORACLES["op11_chat_formatting"] = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS t FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || t || chr(10), '' ORDER BY turn, role, t)) AS turns_sha256,
+  CAST(coalesce(sum(length(t)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(t, '' ORDER BY turn, role, t) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length('<turn ' || replace(replace(role, '\', '\\'), chr(10), '\n') || '>' || chr(10) || '</turn>' || chr(10)) + length(regexp_replace(t, '<(\\*)(/?turn)', '<\\\1\2', 'g'))) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id
+"""
+
+
+@query
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.interaction_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+ORACLES["op12_filter_audit"] = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), l AS (SELECT doc_id, max(quality) = 1 AS good, max(toxic) = 1 AS toxic FROM labels GROUP BY doc_id
+), f AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    (CASE WHEN len(ws) < 100 THEN 'A' ELSE '' END) || (CASE WHEN 100 * list_unique(ws) < 80 * len(ws) THEN 'B' ELSE '' END)
+    || (CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 10 * length(t) THEN 'C' ELSE '' END)
+    || (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END)
+    || (CASE WHEN d.doc_id > min(d.doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END) AS fails
+  FROM d LEFT JOIN l USING (doc_id)
+), m AS (SELECT part, good, toxic, fails, count(*) AS n FROM f GROUP BY ALL
+), x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c
+), o AS (
+  SELECT a.c || b.c || c.c || d.c || e.c AS filter_order FROM x a, x b, x c, x d, x e
+  WHERE len(list_distinct([a.c, b.c, c.c, d.c, e.c])) = 5
+), s AS (SELECT filter_order, unnest(range(1, 6)) AS step FROM o
+), r AS (
+  SELECT part, filter_order, step, substr(filter_order, step, 1) AS c,
+    coalesce(sum(n) FILTER (NOT earlier AND NOT now), 0) AS kept, coalesce(sum(n) FILTER (NOT earlier AND now), 0) AS removed,
+    coalesce(sum(n) FILTER (earlier AND now), 0) AS redundant, coalesce(sum(n) FILTER (fails = substr(filter_order, step, 1)), 0) AS unique_fails,
+    coalesce(sum(n) FILTER (NOT earlier AND now AND good), 0) AS good_lost, coalesce(sum(n) FILTER (NOT earlier AND now AND toxic), 0) AS toxic_lost
+  FROM (SELECT m.*, s.*, contains(fails, substr(filter_order, step, 1)) AS now,
+      translate(fails, substr(filter_order, 1, step - 1), '') <> fails AS earlier FROM m, s)
+  GROUP BY ALL
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, c) AS BIGINT) AS shapley
+FROM r
+"""
+
+
+def planted(docs: DataFrame) -> DataFrame:
+    """doc_id and text of all documents; each tenth, by the checksum of its id, gets a periodic tail in place of its own. Null ids get none."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.array_remove(F.split(whole(F.col("text")), r"[\x20\x09-\x0D]+"), "")
+    picked = docs.select("doc_id", "text", F.coalesce(h % 10 == 0, F.lit(False)).alias("picked"), F.floor(h / 10).alias("g"))
+    picked = picked.withColumn("words", F.when(F.col("picked"), words)).withColumn("n", F.greatest(F.size("words"), F.lit(1)))
+    picked = picked.withColumn("a", (F.col("g") % F.col("n")).cast("int"))
+    picked = picked.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    tail = F.slice("words", F.col("a") + 1, F.col("p"))
+    again = F.flatten(F.array_repeat(tail, F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int")))
+    whole_text = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), F.slice(again, F.lit(1), F.col("n") - F.col("a"))), " ")
+    return picked.select("doc_id", F.when(F.col("picked"), whole_text).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = period_runs.periodic_runs(planted(table(spark, sf_dir, "documents")))
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    stronger = lambda r, s: s.isNull() | (r["length"] * s["period"] > s["length"] * r["period"])
+    best = F.reduce("runs", F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>"), lambda s, r: F.when(stronger(r, s), r).otherwise(s))
+    found = found.withColumn("best", best)
+    return found.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("bigint").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
