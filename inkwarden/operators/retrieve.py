@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import dot, jaccard, latin_words, let
+from ..sources.files import stored
 
 DEDUP_AT = 0.85
 DEFAULT_BUDGET = 2048
 MOST_QUERIES = 10_000
+MOST_WORDS = 1_000_000
 
 
 def budget_or_default(budget: Column, default: int = DEFAULT_BUDGET) -> Column:
@@ -17,12 +19,43 @@ def budget_or_default(budget: Column, default: int = DEFAULT_BUDGET) -> Column:
     return F.coalesce(F.nullif(budget, F.lit(0)), F.lit(default))
 
 
-def keyword_scores(queries: DataFrame, chunks: DataFrame, query_id: str, chunk_id: str, text_col: str = "text") -> DataFrame:
-    """(query, chunk, score) for every pair with a word in common: Jaccard of their latin word sets by an inverted index."""
-    a = queries.select(query_id, latin_words(F.col(text_col)).alias("w")).select(query_id, F.size("w").alias("na"), F.explode("w").alias("w"))
-    b = chunks.select(chunk_id, latin_words(F.col(text_col)).alias("w")).select(chunk_id, F.size("w").alias("nb"), F.explode("w").alias("w"))
-    both = a.join(b, "w").groupBy(query_id, chunk_id, "na", "nb").agg(F.count(F.lit(1)).alias("same"))
-    return both.select(query_id, chunk_id, (F.col("same") / (F.col("na") + F.col("nb") - F.col("same"))).alias("score"))
+def _blocks(queries: DataFrame, query_id: str, rows: int, most: int) -> list[DataFrame]:
+    """The queries in blocks, so that what is broadcast of one (`rows` in all) stays within about `most` rows."""
+    n = max(1, -(-rows // most))
+    return [queries] if n == 1 else [queries.filter(F.pmod(F.xxhash64(query_id), F.lit(n)) == i) for i in range(n)]
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def _overlaps(a: DataFrame, b: DataFrame, query_id: str, keys: list[str], most_words: int) -> DataFrame:
+    """(query, keys, score) of query words `a` (query, na, w) and the word arrays of `b` (keys, words), for all that share a word.
+
+    Word arrays are dealt by their first key once; a block of the queries' words is broadcast, and all words of a key are counted
+    in the task that has them. So no word is a join key in a shuffle, however many texts hold it, and pairs are never sent.
+    """
+    b = b.select(*keys, F.size("words").alias("nb"), "words").repartition(keys[0]).select(*keys, "nb", F.explode("words").alias("w"))
+
+    def block(part):
+        both = b.join(F.broadcast(part), "w").groupBy(query_id, *keys, "na", "nb").agg(F.count(F.lit(1)).alias("same"))
+        return both.select(query_id, *keys, (F.col("same") / (F.col("na") + F.col("nb") - F.col("same"))).alias("score"))
+
+    return _union([block(p) for p in _blocks(a, query_id, a.count(), most_words)])
+
+
+def query_words(queries: DataFrame, query_id: str, text_col: str = "text") -> DataFrame:
+    a = queries.select(query_id, latin_words(F.col(text_col)).alias("w"))
+    return a.select(query_id, F.size("w").alias("na"), F.explode("w").alias("w"))
+
+
+def keyword_scores(queries: DataFrame, chunks: DataFrame, query_id: str, chunk_id: str, text_col: str = "text", most_words: int = MOST_WORDS) -> DataFrame:
+    """(query, chunk, score) for every pair with a word in common: Jaccard of their latin word sets by an inverted index of the queries."""
+    b = chunks.select(chunk_id, latin_words(F.col(text_col)).alias("words"))
+    return _overlaps(query_words(queries, query_id, text_col), b, query_id, [chunk_id], most_words)
 
 
 def top_k(scores: DataFrame, query_id: str, chunk_id: str, k: int) -> DataFrame:
@@ -49,14 +82,6 @@ def vector_top_k(queries: DataFrame, vectors: DataFrame, query_id: str, vector_i
     return out
 
 
-def drop_similar(ranked: Column, at_least: float = DEDUP_AT) -> Column:
-    """A ranked array of structs (chunk_id, words, ...) without those alike to an accepted one: same id, or word sets with a Jaccard
-    similarity of `at_least`. Greedy in rank order; an empty set is like nothing."""
-    init = F.slice(ranked, F.lit(1), F.lit(0))
-    alike = lambda x, y: (x["chunk_id"] == y["chunk_id"]) | (jaccard(x["words"], y["words"]) >= at_least)
-    return F.aggregate(ranked, init, lambda kept, x: F.when(F.exists(kept, lambda y: alike(x, y)), kept).otherwise(F.concat(kept, F.array(x))))
-
-
 def within_budget(ranked: Column, budget: Column, k: int) -> Column:
     """Greedy by a token budget: what does not fit is skipped, later ones may fit, at most k are taken."""
     init = F.struct(F.lit(0).alias("n"), F.lit(0).alias("tokens"), F.slice(ranked, F.lit(1), F.lit(0)).alias("out"))
@@ -68,30 +93,106 @@ def within_budget(ranked: Column, budget: Column, k: int) -> Column:
     return F.aggregate(ranked, init, step, lambda a: a["out"])
 
 
-def ranked_chunks(queries: DataFrame, chunks: DataFrame, depth: int, query_id: str) -> DataFrame:
-    """(query, ranked): each query's best `depth` chunks as an array of (rank, chunk_id, source_id, source_name, score, tokens, words, text)."""
-    best = top_k(keyword_scores(queries, chunks, query_id, "chunk_id"), query_id, "chunk_id", depth)
-    rows = best.join(chunks.select("chunk_id", "source_id", "source_name", "text", "estimated_tokens"), "chunk_id")
-    item = F.struct("rank", "chunk_id", "source_id", "source_name", "score", F.col("estimated_tokens").alias("tokens"), latin_words(F.col("text")).alias("words"), "text")
-    return rows.groupBy(query_id).agg(F.array_sort(F.collect_list(item)).alias("ranked"))
+def word_classes(chunks: DataFrame) -> DataFrame:
+    """(class, words, first): a row for each word set of the chunks, with the first chunk that has it (source_id, chunk_index, chunk_id).
+
+    Chunks with equal word sets have equal scores for any query, and of them only the first can be accepted, so the others never
+    need a place in a ranking. A chunk without words is like nothing and is a class of its own.
+    """
+    first = F.struct("source_id", "chunk_index", "chunk_id")
+    rows = chunks.select(first.alias("first"), F.array_sort(latin_words(F.col("text"))).alias("words"))
+    alone = F.concat_ws(":", F.lit("#"), F.col("first.source_id").cast("string"), F.col("first.chunk_index").cast("string"), F.col("first.chunk_id"))
+    key = F.sha2(F.when(F.size("words") == 0, alone).otherwise(F.array_join("words", " ")), 256)
+    return rows.groupBy(key.alias("class")).agg(F.any_value("words").alias("words"), F.min("first").alias("first"))
+
+
+def accept(accepted: Column, ranked: Column, wanted: int, at_least: float = DEDUP_AT) -> Column:
+    """`accepted` and those of `ranked` that are like none accepted before them, in order, until there are `wanted`."""
+    alike = lambda x, y: (x["chunk_id"] == y["chunk_id"]) | (jaccard(x["words"], y["words"]) >= at_least)
+    return F.aggregate(ranked, accepted, lambda kept, x: F.when((F.size(kept) >= wanted) | F.exists(kept, lambda y: alike(x, y)), kept).otherwise(F.concat(kept, F.array(x))))
+
+
+ACCEPTED = "array<struct<score:double,source_id:{s},chunk_index:int,chunk_id:string,words:array<string>>>"
+
 
+def first_unique(queries: DataFrame, chunks: DataFrame, wanted: int, query_id: str, block: int | None = None, most_words: int = MOST_WORDS) -> DataFrame:
+    """(query, position from 1, score, source_id, chunk_index, chunk_id): the first `wanted` chunks of each ranking that are like none before them.
 
-def assemble(queries: DataFrame, chunks: DataFrame, k: int = 5, query_id: str = "query_id", budget_col: str | None = None, depth: int | None = None) -> DataFrame:
+    The whole ranking counts: score downwards, ties by (source_id, chunk_index), chunks without a word in common last. It is
+    drawn in blocks. Each round takes, for the queries that still lack chunks, the next `block` classes below the place
+    reached, folds them into what is accepted and goes on with four times as many, until a query has enough or its ranking
+    ends. A round scores all classes against the open queries (a given query set against all rows, in blocks), keeps `block` rows a
+    task and query before its shuffle, and nothing but the number of open queries reaches the driver. What is kept of a query is
+    `wanted` word sets.
+    """
+    kind = chunks.schema["source_id"].dataType.simpleString()
+    classes = stored(word_classes(chunks), "word-classes")
+    asked = queries.dropDuplicates([query_id]).select(query_id, latin_words(F.coalesce("text", F.lit(""))).alias("w"))
+    state = asked.select(query_id, "w", F.size("w").alias("na"), F.array().cast(ACCEPTED.format(s=kind)).alias("accepted"), F.lit(None).cast("double").alias("at"), F.lit(None).cast(classes.schema["first"].dataType).alias("after"), F.lit(False).alias("ended"))
+    state = stored(state, "ranking-state")
+    for with_zero in (False, True):  # chunks that share no word come after all others and are scored only for queries that get so far
+        size = block or 4 * wanted
+        while True:
+            behind = (F.size("accepted") < wanted) & ~F.col("ended")
+            open_queries = state.filter(behind)
+            n, words = open_queries.agg(F.count(F.lit(1)), F.coalesce(F.sum("na"), F.lit(0))).first()
+            if not n:
+                break
+            if with_zero:
+                found = _union([_zero_scores(part, classes, query_id) for part in _blocks(open_queries, query_id, n, MOST_QUERIES)])
+            else:
+                found = _overlaps(open_queries.select(query_id, "na", F.explode("w").alias("w")), classes, query_id, ["class", "first"], most_words)
+            found = found.join(F.broadcast(open_queries.select(query_id, "at", "after")), query_id)
+            found = found.filter(F.col("at").isNull() | (F.col("score") < F.col("at")) | ((F.col("score") == F.col("at")) & (F.col("first") > F.col("after"))))
+            ahead = Window.partitionBy(query_id).orderBy(F.desc("score"), "first")
+            found = found.withColumn("rank", F.row_number().over(ahead)).filter(F.col("rank") <= size).join(classes.select("class", "words"), "class")
+            item = F.struct("score", "first.source_id", "first.chunk_index", "first.chunk_id", "words")
+            drawn = found.groupBy(query_id).agg(F.array_sort(F.collect_list(F.struct("rank", item.alias("x")))).alias("drawn"))
+            rows = open_queries.join(drawn, query_id, "left").withColumn("n", F.coalesce(F.size("drawn"), F.lit(0)))
+            last = F.element_at("drawn", -1)["x"]
+            rows = rows.select(
+                query_id, "w", "na",
+                F.when(F.col("n") > 0, accept(F.col("accepted"), F.transform("drawn", lambda d: d["x"]), wanted)).otherwise(F.col("accepted")).alias("accepted"),
+                F.when(F.col("n") > 0, last["score"]).otherwise(F.col("at")).alias("at"),
+                F.when(F.col("n") > 0, F.struct(last["source_id"].alias("source_id"), last["chunk_index"].alias("chunk_index"), last["chunk_id"].alias("chunk_id"))).otherwise(F.col("after")).alias("after"),
+                (F.col("n") < size).alias("ended"),
+            )
+            state = stored(state.filter(~behind).unionByName(rows), "ranking-state")
+            size *= 4
+        if not with_zero:
+            none = F.lit(None)
+            state = state.withColumns({"ended": F.lit(False), "at": none.cast("double"), "after": none.cast(classes.schema["first"].dataType)})
+    rows = state.select(query_id, F.posexplode("accepted").alias("position", "x"))
+    return rows.select(query_id, (F.col("position") + 1).alias("position"), "x.score", "x.source_id", "x.chunk_index", "x.chunk_id")
+
+
+def _zero_scores(queries: DataFrame, classes: DataFrame, query_id: str) -> DataFrame:
+    """(query, class, first, score 0) of all that share no word."""
+    pairs = classes.join(F.broadcast(queries.select(query_id, "w")), F.lit(True), "cross")
+    return pairs.filter(~F.arrays_overlap("words", "w")).select(query_id, "class", "first", F.lit(0.0).alias("score"))
+
+
+def assemble(queries: DataFrame, chunks: DataFrame, k: int = 5, query_id: str = "query_id", budget_col: str | None = None) -> DataFrame:
     """Context of each query: rank, drop similar, first 2k, greedy by budget, at most k.
 
-    `depth` is how far down the ranking chunks are considered (20 k unless given), as a top-k report has it. Columns: context_text,
-    attributions (source_id, source_name, score; the first chunk of each source, in order), total_tokens, chunks_used, chunks_available.
+    `chunks` are those of `chunk.retrieval_chunks`; the ranking goes as deep as 2k chunks that are not alike need it. Columns: context_text,
+    attributions (source_id, source_name, score; the first chunk of each source, in order), total_tokens, chunks_used, chunks_available
+    (chunks in all).
     """
-    rows = queries.join(ranked_chunks(queries, chunks, depth or 20 * k, query_id), query_id, "left")
+    chunks = stored(chunks, "chunks")
+    best = first_unique(queries, chunks, 2 * k, query_id)
+    details = chunks.select("source_id", "chunk_index", "chunk_id", "source_name", "text", F.col("estimated_tokens").alias("tokens")).dropDuplicates(["source_id", "chunk_index", "chunk_id"])
+    items = best.join(details, ["source_id", "chunk_index", "chunk_id"]).groupBy(query_id).agg(F.array_sort(F.collect_list(F.struct("position", "chunk_id", "source_id", "source_name", "score", "tokens", "text"))).alias("unique"))
+    rows = queries.join(items, query_id, "left").crossJoin(F.broadcast(chunks.agg(F.count(F.lit(1)).cast("int").alias("chunks_available"))))
     budget = budget_or_default(F.col(budget_col)) if budget_col else F.lit(DEFAULT_BUDGET)
-    rows = rows.withColumn("__unique", drop_similar(F.col("ranked"))).withColumn("__taken", within_budget(F.slice("__unique", 1, 2 * k), budget, k))
+    rows = rows.withColumn("__taken", within_budget(F.col("unique"), budget, k))
     first = lambda t: F.filter(t, lambda x, i: ~F.exists(F.slice(t, F.lit(1), i), lambda y: y["source_id"] == x["source_id"]))
     named = lambda t: F.transform(first(t), lambda x: F.struct(x["source_id"].alias("source_id"), x["source_name"].alias("source_name"), F.round(x["score"], 4).alias("relevance_score")))
 
     def outcome(t):
         return F.struct(context_text(t).alias("context_text"), named(t).alias("attributions"), F.aggregate(t, F.lit(0), lambda a, x: a + x["tokens"]).alias("total_tokens"), F.size(t).alias("chunks_used"))
 
-    rows = rows.select(query_id, let(F.coalesce("__taken", F.slice("ranked", 1, 0)), outcome).alias("o"), F.coalesce(F.size("__unique"), F.lit(0)).alias("chunks_available"))
+    rows = rows.select(query_id, let(F.coalesce("__taken", F.slice("unique", 1, 0)), outcome).alias("o"), "chunks_available")
     count = lambda c: F.coalesce(F.col(f"o.{c}"), F.lit(0)).alias(c)
     return rows.select(query_id, F.coalesce("o.context_text", F.lit("")).alias("context_text"), F.col("o.attributions").alias("attributions"), count("total_tokens"), count("chunks_used"), "chunks_available")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.recognizers import REGISTRY, Recognizer
-from ..operators import chunk, detect, evaluate, retrieve
+from ..operators import chunk, detect, evaluate, retrieve, similarity
 from .privacy import docs, known, spans_sql
 from ..sources import files
 from .registry import query, table
@@ -16,9 +16,34 @@ KEYWORDS_SQL = f"""WITH a AS (SELECT item_id, {LATIN.format(t="text")} AS w FROM
 )"""
 
 
+#: Chunks of a whole corpus: sentences with the sums of their lengths, then one recursion step per chunk. A chunk ends before the sentence
+#: that would exceed 2048 characters; the next one begins with its closing sentences of at most 256 characters together.
+CHUNKS_SQL = r"""WITH RECURSIVE sent AS (
+  SELECT doc_id, source, list_filter(string_split(regexp_replace(regexp_replace(regexp_replace(text, '^\s+', ''), '\s+$', ''), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: length(trim(x)) > 0) AS ls FROM documents
+), each_sentence AS (SELECT doc_id, unnest(ls) AS x, unnest(range(1, len(ls) + 1)) AS i FROM sent
+), sums AS (SELECT doc_id, list(total ORDER BY i) AS total FROM (SELECT doc_id, i, CAST(sum(length(x)) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS total FROM each_sentence) GROUP BY doc_id
+), pre AS (SELECT doc_id, source, ls, len(ls) AS m, list_prepend(0, total) AS pre FROM sent JOIN sums USING (doc_id)
+), cuts AS (
+  SELECT doc_id, 0 AS idx, 0 AS a, greatest(0, len(list_filter(pre, lambda x: x <= 2048)) - 2) AS b FROM pre
+  UNION ALL
+  SELECT doc_id, idx + 1, f, greatest(i, len(list_filter(pre, lambda x: x - pre[f + 1] <= 2048)) - 2) FROM (
+    SELECT c.doc_id, c.idx, c.b + 1 AS i, c.b + 1 - len(list_filter(range(c.a, c.b + 1), lambda j: p.pre[c.b + 2] - p.pre[j + 1] <= 256)) AS f, p.pre AS pre
+    FROM cuts c JOIN pre p ON p.doc_id = c.doc_id WHERE c.b + 1 < p.m)
+), chunk_texts AS (SELECT c.doc_id AS source_id, source AS source_name, idx, array_to_string(ls[a + 1:b + 1], ' ') AS text FROM cuts c JOIN pre p ON p.doc_id = c.doc_id
+), chunks AS (
+  SELECT substr(sha256(CAST(source_id AS VARCHAR) || ':' || idx || ':' || substr(text, 1, 64)), 1, 16) AS chunk_id, source_id, source_name, CAST(idx AS INTEGER) AS chunk_index, text,
+    CAST(greatest(1, length(text) // 4) AS INTEGER) AS estimated_tokens FROM chunk_texts
+)"""
+
+
 def passages(spark, sf_dir):
-    """Documents as retrieval chunks of their first sentence pack would be too long to compare in SQL; here a document is one chunk."""
-    return docs(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("source_id"), F.col("source").alias("source_name"), "text", chunk.estimated_tokens(F.col("text")).alias("estimated_tokens"))
+    """The documents' retrieval chunks."""
+    return chunk.retrieval_chunks(docs(spark, sf_dir), name_col="source")
+
+
+@query("ctx_chunk", CHUNKS_SQL + " SELECT chunk_id, source_id, source_name, chunk_index, text, estimated_tokens FROM chunks")
+def _(spark, sf_dir):
+    return passages(spark, sf_dir)
 
 
 def items(spark, sf_dir):
@@ -31,9 +56,20 @@ def _(spark, sf_dir):
     return retrieve.top_k(scores, "item_id", "doc_id", 10).withColumn("score", F.round("score", 6))
 
 
-@query("ctx_rank", KEYWORDS_SQL + "SELECT item_id AS query_id, doc_id AS chunk_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 5")
+#: All chunks of each query's ranking, chunks without a common word included.
+RANKED_SQL = CHUNKS_SQL + f""", q AS (SELECT item_id AS query_id, {LATIN.format(t="text")} AS w FROM benchmark), k AS (SELECT *, {LATIN.format(t="text")} AS w FROM chunks
+), same AS (
+  SELECT query_id, source_id, chunk_index, count(*) AS n FROM (SELECT query_id, unnest(w) AS w FROM q) JOIN (SELECT source_id, chunk_index, unnest(w) AS w FROM k) USING (w) GROUP BY ALL
+), r AS (
+  SELECT query_id, k.*, coalesce(n / CAST(len(q.w) + len(k.w) - n AS DOUBLE), 0.0) AS score, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(n / CAST(len(q.w) + len(k.w) - n AS DOUBLE), 0.0) DESC, source_id, chunk_index) AS rank
+  FROM q CROSS JOIN k LEFT JOIN same USING (query_id, source_id, chunk_index)
+)"""
+
+
+@query("ctx_rank", RANKED_SQL + " SELECT query_id, chunk_id, CAST(rank AS INTEGER) AS rank FROM r WHERE score > 0 AND rank <= 5")
 def _(spark, sf_dir):
-    return retrieve.top_k(retrieve.keyword_scores(items(spark, sf_dir), passages(spark, sf_dir), "query_id", "chunk_id"), "query_id", "chunk_id", 5).select("query_id", "chunk_id", "rank")
+    parts = passages(spark, sf_dir).withColumn("place", F.struct("source_id", "chunk_index", "chunk_id"))
+    return retrieve.top_k(retrieve.keyword_scores(items(spark, sf_dir), parts, "query_id", "place"), "query_id", "place", 5).select("query_id", "place.chunk_id", "rank")
 
 
 VEC_DOT = "list_sum(list_transform(range(1, len(q.embedding) + 1), lambda i: CAST(q.embedding[i] AS DOUBLE) * CAST(v.embedding[i] AS DOUBLE)))"
@@ -47,24 +83,26 @@ def _(spark, sf_dir):
     return retrieve.vector_top_k(q, e, "query_id", "vec_id", 10).withColumn("score", F.round("score", 6))
 
 
-DEDUP_SQL = KEYWORDS_SQL[:-1] + f"""), r AS (
-  SELECT item_id AS query_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 100
-), l AS (SELECT query_id, list({{'rank': rank, 'id': doc_id, 'src': source, 'score': score, 'tokens': greatest(1, length(text) // 4), 'w': {LATIN.format(t="text")}, 'text': text}} ORDER BY rank) AS l FROM r JOIN documents USING (doc_id) GROUP BY query_id
+DEDUP_SQL = RANKED_SQL + """, l AS (
+  SELECT query_id, list({'rank': rank, 'id': chunk_id, 'sid': source_id, 'at': chunk_index, 'w': w} ORDER BY rank) AS l FROM r GROUP BY query_id
 ), u AS (
-  SELECT query_id, list_reduce(list_transform(l, lambda x: [x]), lambda a, x: CASE WHEN len(list_filter(a, lambda y: y.id = x[1].id OR (len(y.w) > 0 AND len(x[1].w) > 0 AND
+  SELECT query_id, list_reduce(list_transform(l, lambda x: [x]), lambda a, x: CASE WHEN len(a) >= 10 OR len(list_filter(a, lambda y: y.id = x[1].id OR (len(y.w) > 0 AND len(x[1].w) > 0 AND
     len(list_intersect(y.w, x[1].w)) / CAST(len(y.w) + len(x[1].w) - len(list_intersect(y.w, x[1].w)) AS DOUBLE) >= 0.85))) > 0 THEN a ELSE list_concat(a, x) END) AS u FROM l
+), uniques AS (
+  SELECT x.query_id, x.position, r.source_id AS sid, r.chunk_id AS id, r.source_name AS src, r.score, CAST(r.estimated_tokens AS BIGINT) AS tokens, r.text
+  FROM (SELECT query_id, unnest(u).rank AS rank, unnest(range(1, len(u) + 1)) AS position FROM u) x JOIN r ON r.query_id = x.query_id AND r.rank = x.rank
 )"""
 
 
-@query("dedup_greedy", DEDUP_SQL + " SELECT query_id, unnest(u).id AS chunk_id FROM u")
+@query("dedup_greedy", DEDUP_SQL + " SELECT query_id, id AS chunk_id, CAST(position AS INTEGER) AS position FROM uniques")
 def _(spark, sf_dir):
-    ranked = retrieve.ranked_chunks(items(spark, sf_dir), passages(spark, sf_dir), 100, "query_id")
-    return ranked.select("query_id", F.explode(retrieve.drop_similar(F.col("ranked"))).alias("x")).select("query_id", "x.chunk_id")
+    return retrieve.first_unique(items(spark, sf_dir), passages(spark, sf_dir), 10, "query_id").select("query_id", "chunk_id", "position")
 
 
 TAKEN_SQL = DEDUP_SQL + """, t AS (
-  SELECT query_id, len(u) AS available, list_reduce(list_transform(u[1:10], lambda x: {'n': CAST(CASE WHEN x.tokens <= 2048 THEN 1 ELSE 0 END AS BIGINT), 'tok': CAST(CASE WHEN x.tokens <= 2048 THEN x.tokens ELSE 0 END AS BIGINT), 'all': x.tokens, 'o': CASE WHEN x.tokens <= 2048 THEN [x] ELSE [] END, 'x': [x]}),
-    lambda a, b: CASE WHEN a.n < 5 AND a.tok + b.all <= 2048 THEN {'n': a.n + 1, 'tok': a.tok + b.all, 'all': a.all, 'o': list_concat(a.o, b.x), 'x': a.x} ELSE a END) AS t FROM u
+  SELECT query_id, list_reduce(list_transform(l, lambda x: {'n': CAST(CASE WHEN x.tokens <= 2048 THEN 1 ELSE 0 END AS BIGINT), 'tok': CAST(CASE WHEN x.tokens <= 2048 THEN x.tokens ELSE 0 END AS BIGINT), 'all': x.tokens, 'o': CASE WHEN x.tokens <= 2048 THEN [x] ELSE [] END, 'x': [x]}),
+    lambda a, b: CASE WHEN a.n < 5 AND a.tok + b.all <= 2048 THEN {'n': a.n + 1, 'tok': a.tok + b.all, 'all': a.all, 'o': list_concat(a.o, b.x), 'x': a.x} ELSE a END) AS t
+  FROM (SELECT query_id, list({'tokens': tokens, 'sid': sid, 'src': src, 'score': score, 'text': text} ORDER BY position) AS l FROM uniques GROUP BY query_id)
 )"""
 
 
@@ -72,7 +110,7 @@ def assembled(spark, sf_dir):
     return retrieve.assemble(items(spark, sf_dir), passages(spark, sf_dir), 5)
 
 
-@query("ctx_assemble", TAKEN_SQL + "SELECT i.item_id AS query_id, CAST(coalesce(t.tok, 0) AS INTEGER) AS total_tokens, CAST(coalesce(t.n, 0) AS INTEGER) AS chunks_used, CAST(coalesce(available, 0) AS INTEGER) AS chunks_available FROM benchmark i LEFT JOIN t ON query_id = item_id")
+@query("ctx_assemble", TAKEN_SQL + "SELECT i.item_id AS query_id, CAST(coalesce(t.tok, 0) AS INTEGER) AS total_tokens, CAST(coalesce(t.n, 0) AS INTEGER) AS chunks_used, CAST((SELECT count(*) FROM chunks) AS INTEGER) AS chunks_available FROM benchmark i LEFT JOIN t ON query_id = item_id")
 def _(spark, sf_dir):
     return assembled(spark, sf_dir).select("query_id", "total_tokens", "chunks_used", "chunks_available")
 
@@ -83,12 +121,34 @@ def _(spark, sf_dir):
     return assembled(spark, sf_dir).select("query_id", "context_text")
 
 
-@query("ctx_attribution", TAKEN_SQL + """, e AS (SELECT query_id, unnest(t.o).id AS source_id, unnest(t.o).src AS source_name, unnest(t.o).score AS score, unnest(range(0, len(t.o))) AS pos FROM t)
+@query("ctx_attribution", TAKEN_SQL + """, e AS (SELECT query_id, unnest(t.o).sid AS source_id, unnest(t.o).src AS source_name, unnest(t.o).score AS score, unnest(range(0, len(t.o))) AS pos FROM t)
 SELECT query_id, source_id, source_name, round(score, 4) AS relevance_score FROM e QUALIFY row_number() OVER (PARTITION BY query_id, source_id ORDER BY pos) = 1""")
 def _(spark, sf_dir):
     return assembled(spark, sf_dir).select("query_id", F.explode("attributions").alias("a")).select("query_id", "a.*")
 
 
+# ------------------------------------------------------------------ alike word sets of the whole corpus
+ALIKE_SQL = f"""WITH s AS (SELECT doc_id, list_sort({LATIN.format(t="text")}) AS w FROM documents), c AS (
+  SELECT *, min(doc_id) OVER (PARTITION BY w) AS class_id, count(*) OVER (PARTITION BY w) AS class_size FROM s WHERE len(w) > 0
+), f AS (SELECT doc_id, w, unnest(w) AS x FROM c WHERE doc_id = class_id
+), n AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared, len(any_value(a.w)) + len(any_value(b.w)) - count(*) AS u FROM f a JOIN f b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (SELECT a, b, shared, shared / CAST(u AS DOUBLE) AS similarity FROM n WHERE 100 * shared >= 85 * u)"""
+
+
+def alike(spark, sf_dir):
+    return similarity.near_dup_links(docs(spark, sf_dir), "doc_id")
+
+
+@query("near_dup_pairs", ALIKE_SQL + " SELECT a, b, CAST(shared AS INTEGER) AS shared, round(similarity, 6) AS similarity FROM links")
+def _(spark, sf_dir):
+    return alike(spark, sf_dir)[1].withColumn("similarity", F.round("similarity", 6))
+
+
+@query("near_dup_classes", ALIKE_SQL + ", e AS (SELECT x, count(*) AS links FROM (SELECT a AS x FROM links UNION ALL SELECT b FROM links) GROUP BY x) SELECT doc_id AS id, class_id, CAST(class_size AS BIGINT) AS class_size, CAST(coalesce(links, 0) AS BIGINT) AS links FROM c LEFT JOIN e ON x = class_id")
+def _(spark, sf_dir):
+    return similarity.link_counts(*alike(spark, sf_dir))
+
+
 # ------------------------------------------------------------------ evaluation: checked cards against all 16-digit runs, e-mails against a looser pattern
 TRUTH = [Recognizer("CREDIT_CARD", r"\b[0-9]{16}\b", 0.9), Recognizer("EMAIL_ADDRESS", r"\b[A-Za-z0-9._]+@[A-Za-z0-9.]+\b", 0.9)]
 FOUND_SQL = f"SELECT s.*, source AS domain FROM ({spans_sql('documents', *known('CREDIT_CARD', 'EMAIL_ADDRESS', 'IP_ADDRESS'))}) s JOIN documents USING (doc_id)"

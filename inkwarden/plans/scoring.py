@@ -102,11 +102,6 @@ def _(spark, sf_dir):
     return chunk.reassemble(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text", "\n\n")
 
 
-@query("ctx_chunk")
-def _(spark, sf_dir):
-    return chunk.retrieval_chunks(docs(spark, sf_dir), name_col="source").select("chunk_id", "source_id", "source_name", "chunk_index", "text", "estimated_tokens")
-
-
 @query("chunk_id", "SELECT doc_id, substr(sha256(CAST(doc_id AS VARCHAR) || ':0:' || substr(text, 1, 64)), 1, 16) AS chunk_id FROM documents")
 def _(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", chunk.chunk_id(F.col("doc_id"), F.lit(0), F.col("text")).alias("chunk_id"))

@@ -31,11 +31,25 @@ def partitioned_corpus(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share (spark.checkpoint.dir), or in a temporary one where none is set."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="inkwarden-")
+    """A new path in the folder that all executors share (spark.checkpoint.dir).
+
+    Where none is set, a temporary one in local mode and an error on a cluster, whose machines do not see each other's folders.
+    """
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="inkwarden-")
     return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The frame written as Parquet in the shared folder and read again: what follows does not depend on executors that hold its parts."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def by_domain(corpus: DataFrame, domains: list[str]) -> DataFrame:
     """Documents and entities of each named domain; zero where it has no file."""
     spark = corpus.sparkSession
