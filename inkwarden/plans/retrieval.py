@@ -129,9 +129,10 @@ def _(spark, sf_dir):
 
 # ------------------------------------------------------------------ alike word sets of the whole corpus
 ALIKE_SQL = f"""WITH s AS (SELECT doc_id, list_sort({LATIN.format(t="text")}) AS w FROM documents), c AS (
-  SELECT *, min(doc_id) OVER (PARTITION BY w) AS class_id, count(*) OVER (PARTITION BY w) AS class_size FROM s WHERE len(w) > 0
-), f AS (SELECT doc_id, w, unnest(w) AS x FROM c WHERE doc_id = class_id
-), n AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared, len(any_value(a.w)) + len(any_value(b.w)) - count(*) AS u FROM f a JOIN f b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL
+  SELECT doc_id, w, min(doc_id) OVER (PARTITION BY w) AS class_id, count(*) OVER (PARTITION BY w) AS class_size FROM s WHERE len(w) > 0
+), words AS (SELECT x, row_number() OVER () AS x_no FROM (SELECT DISTINCT unnest(w) AS x FROM c)
+), f AS (SELECT doc_id, n, x_no FROM (SELECT doc_id, len(w) AS n, unnest(w) AS x FROM c WHERE doc_id = class_id) JOIN words USING (x)
+), n AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared, a.n + b.n - count(*) AS u FROM f a JOIN f b ON a.x_no = b.x_no AND a.doc_id < b.doc_id WHERE 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY a.doc_id, b.doc_id, a.n, b.n
 ), links AS (SELECT a, b, shared, shared / CAST(u AS DOUBLE) AS similarity FROM n WHERE 100 * shared >= 85 * u)"""
 
 
