@@ -54,6 +54,22 @@ def whole(text: Column) -> Column:
     return F.coalesce(text.cast("string"), F.lit(""))
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """The wanted column names, each with as many underscores behind it as make it differ from all columns of `df`."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def row_tag(text: Column) -> Column:
+    """64 bits of the text: with its id, what tells a row from others. Rows with equal ids and texts are alike in every respect that counts."""
+    return F.xxhash64(whole(text))
+
+
 def order_code(primary: Column, doc_id: Column) -> Column:
     """One decimal that sorts by `primary` descending, then `doc_id` ascending (its maximum is the winner).
 

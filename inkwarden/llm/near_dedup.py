@@ -6,10 +6,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle, whole
+from .common import ASCII_SPACE, free_names, row_tag, settle, whole
 from .components import components
 
 WORDS = 5
@@ -78,36 +78,48 @@ def band_keys(shingles: np.ndarray, orders: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+def digest_of(shingles: np.ndarray) -> tuple[int, int]:
+    """128 bits of a whole shingle set, as two signed numbers."""
+    d = xxhash.xxh3_128_digest(shingles.tobytes())
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+
+
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit digest (s0, s1) of the whole shingle set, and its bands (none for the empty set)."""
+    """doc_id, tag, n_shingles, a 128-bit digest (s0, s1) of the whole shingle set, and its bands (none for the empty set)."""
 
     def run(batches):
         known, orders = _WordHashes(), _orders()
         for batch in batches:
             n, s0, s1, bands = [], [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 s = shingle_set(text, known)
-                d = xxhash.xxh3_128_digest(s.tobytes())
+                d = digest_of(s)
                 n.append(len(s))
-                s0.append(int.from_bytes(d[:8], "little", signed=True))
-                s1.append(int.from_bytes(d[8:], "little", signed=True))
+                s0.append(d[0])
+                s1.append(d[1])
                 bands.append(band_keys(s, orders) if len(s) else [])
-            arrays = [batch.column(0), pa.array(n, pa.int64()), pa.array(s0, pa.int64()), pa.array(s1, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_shingles", "s0", "s1", "bands"])
+            arrays = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(s0, pa.int64()), pa.array(s1, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "tag", "n_shingles", "s0", "s1", "bands"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), whole(F.col(text_col)).alias("text")).mapInArrow(run, "doc_id bigint, n_shingles bigint, s0 bigint, s1 bigint, bands array<bigint>")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), row_tag(F.col(text_col)).alias("tag"), whole(F.col(text_col)).alias("text"))
+    return rows.mapInArrow(run, "doc_id bigint, tag bigint, n_shingles bigint, s0 bigint, s1 bigint, bands array<bigint>")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(v, shingles) with the full shingle set as bytes, for the documents in `wanted` (v)."""
+    """(v, shingles) with the full shingle set as bytes, for the classes in `wanted` (v, first, s0, s1)."""
 
     def run(batches):
         known = _WordHashes()
         for batch in batches:
-            s = [shingle_set(t, known).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.binary())], names=["v", "shingles"])
+            v, found = [], []
+            for node, s0, s1, text in zip(*[c.to_pylist() for c in batch.columns]):
+                s = shingle_set(text, known)
+                if digest_of(s) == (s0, s1):  # else another row with the id of the class's first
+                    v.append(node)
+                    found.append(s.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()), pa.array(found, pa.binary())], names=["v", "shingles"])
 
-    texts = docs.select(F.col(id_col).cast("bigint").alias("v"), whole(F.col(text_col)).alias("text")).join(wanted, "v", "left_semi")
+    texts = docs.select(F.col(id_col).cast("bigint").alias("first"), whole(F.col(text_col)).alias("text")).join(wanted, "first").select("v", "s0", "s1", "text")
     return texts.mapInArrow(run, "v bigint, shingles binary").dropDuplicates(["v"])
 
 
@@ -189,37 +201,43 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Documents are linked when 100 * intersection >= 75 * union of their full sets of five-word shingles.
 
-    1. Documents with equal sets form a class; only the class's smallest id (its representative) goes on.
-    2. Representatives fall into 32 buckets each (4 bins of 128 a band; a pair at 0.75 misses all with probability 5e-6).
-    3. Stars: every member of a bucket is compared with the bucket's smallest id, then with the member that has most
+    1. Documents with equal sets form a class, known by the sets' digest and numbered once when it is stored.
+    2. Classes fall into 32 buckets each (4 bins of 128 a band; a pair at 0.75 misses all with probability 5e-6).
+    3. Stars: every member of a bucket is compared with the bucket's smallest number, then with the member that has most
        confirmed links so far. All comparisons are made on full sets.
     4. What stars cannot settle: where a bucket still holds members of several components, those outside its largest are
        compared with all members by an index of shingles, in blocks (`family_links`), so no link of a bucket is lost.
-    5. Components of all links; a document takes its class's component.
+    5. Components of all links; a component is named by the smallest id of its classes, a document takes its class's.
 
     A text without words has no shingle, links to nothing and is its own component. Null text counts as empty. A row
-    with a null id links to nothing and has a null component. Ids are taken as unique: rows that repeat an id each take the
-    component of their own text. Extra columns are ignored. No rows in, no rows out.
+    with a null id links to nothing and has a null component. Rows that repeat an id each have their own text's class and links.
+    Extra columns are ignored. No rows in, no rows out.
     """
+    return _near(docs, id_col, text_col).drop("tag", "comp")
+
+
+def _near(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = settle(signatures(docs, id_col, text_col), "signatures")
     linkable = rows.filter("n_shingles > 0 and doc_id is not null")
-    classes = settle(linkable.groupBy("s0", "s1").agg(F.min("doc_id").alias("v")), "classes", narrow=True)
-    nodes = linkable.join(classes, (linkable["s0"] == classes["s0"]) & (linkable["s1"] == classes["s1"]) & (F.col("doc_id") == F.col("v"))).select("v", F.col("n_shingles").alias("n"), "bands").dropDuplicates(["v"])
-    banded = nodes.select("v", "n", F.posexplode("bands").alias("band", "key"))
-    shared = banded.groupBy("key").agg(F.min("v").alias("hub"), F.min_by("n", "v").alias("hub_n"), F.count(F.lit(1)).alias("members")).filter("members > 1")
-    members = settle(banded.join(shared, "key").select("key", "band", "v", "n", "hub", "hub_n"), "members")
-    sets = settle(sets_of(docs, members.select("v").distinct(), id_col, text_col), "sets")
+    classes = linkable.groupBy("s0", "s1").agg(F.min("doc_id").alias("first"))
+    classes = settle(classes.withColumn("v", F.monotonically_increasing_id()), "classes")
+    renamed = classes.select("v", F.col("s0").alias("c0"), F.col("s1").alias("c1"), "first")
+    nodes = linkable.join(renamed, (F.col("s0") == F.col("c0")) & (F.col("s1") == F.col("c1")) & (F.col("doc_id") == F.col("first"))).select("v", F.col("n_shingles").alias("n"), "bands").dropDuplicates(["v"])
+    banded = settle(nodes.select("v", "n", F.posexplode("bands").alias("band", "key")), "banded")
+    shared = settle(banded.groupBy("key").agg(F.min("v").alias("hub"), F.min_by("n", "v").alias("hub_n"), F.count(F.lit(1)).alias("n")).filter("n > 1").withColumnRenamed("n", "members"), "buckets")
+    members = settle(banded.join(shared.drop("members"), "key").select("key", "band", "v", "n", "hub", "hub_n"), "members")
+    sets = settle(sets_of(docs, classes.join(members.select("v").distinct(), "v", "left_semi"), id_col, text_col), "sets")
 
     def tested(pairs, name):
-        pairs = settle(pairs.distinct(), f"pairs-{name}", narrow=True)
+        pairs = settle(pairs.distinct(), f"pairs-{name}")
         return pairs, settle(confirmed(pairs, sets), f"links-{name}")
 
     first = members.filter("v <> hub").filter(_alike("n", "hub_n")).select(F.col("hub").alias("a"), F.col("v").alias("b"))
     pairs1, links1 = tested(first, "1")
-    degree = links1.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("links"))
+    degree = settle(links1.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("links")), "degrees")
     rank = F.coalesce("links", F.lit(0)).cast("decimal(19,0)") * F.lit("18446744073709551616").cast("decimal(20,0)") - F.col("v").cast("decimal(19,0)")
     ranked = members.join(degree, "v", "left").select("key", "v", "n", rank.cast("decimal(38,0)").alias("rank"))
-    centre = ranked.groupBy("key").agg(F.max_by("v", "rank").alias("hub2"), F.max_by("n", "rank").alias("hub2_n"))
+    centre = settle(ranked.groupBy("key").agg(F.max_by("v", "rank").alias("hub2"), F.max_by("n", "rank").alias("hub2_n")), "centres")
     second = (
         members.join(centre, "key")
         .filter("v <> hub2 and hub2 <> hub")
@@ -229,21 +247,34 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         .join(pairs1, ["a", "b"], "left_anti")
     )
     pairs2, links2 = tested(second, "2")
-    comps = settle(components(links1.unionByName(links2)), "components-1", narrow=True)
+    comps = settle(components(links1.unionByName(links2)), "components-1")
 
     links3 = settle(family_links(members, nodes, comps, sets), "links-3")
     over = links3.join(comps.select(F.col("v").alias("a"), F.col("comp").alias("ca")), "a", "left").join(comps.select(F.col("v").alias("b"), F.col("comp").alias("cb")), "b", "left")
     merged = components(over.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), "stars-b")
     merged = merged.select(F.col("v").alias("comp"), F.col("comp").alias("final"))
-    lone = classes.select("v").join(comps, "v", "left").select("v", F.coalesce("comp", "v").alias("comp"))
-    whole_comps = lone.join(merged, "comp", "left").select("v", F.coalesce("final", "comp").alias("component_id"))
-    by_class = settle(classes.join(whole_comps, "v").select("s0", "s1", "component_id"), "class-components", narrow=True)
-    found = linkable.select("doc_id", "n_shingles", "s0", "s1").join(by_class, ["s0", "s1"]).select("doc_id", "n_shingles", "component_id")
-    alone = rows.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    lone = classes.select("s0", "s1", "first", "v").join(comps, "v", "left").select("s0", "s1", "first", F.coalesce("comp", "v").alias("comp"))
+    placed = settle(lone.join(merged, "comp", "left").select("s0", "s1", "first", F.coalesce("final", "comp").alias("comp")), "class-places")
+    named = settle(placed.groupBy("comp").agg(F.min("first").alias("component_id")), "component-names")
+    by_class = settle(placed.join(named, "comp").select("s0", "s1", "comp", "component_id"), "class-components")
+    found = linkable.select("doc_id", "tag", "n_shingles", "s0", "s1").join(by_class, ["s0", "s1"]).select("doc_id", "tag", "n_shingles", "comp", "component_id")
+    alone = rows.filter("n_shingles = 0 or doc_id is null").select("doc_id", "tag", "n_shingles", F.lit(None).cast("bigint").alias("comp"), F.col("doc_id").alias("component_id"))
     return found.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` without the documents that `near_dedup` does not keep, all columns as they are; a null id is kept."""
-    gone = near_dedup(docs, id_col, text_col).filter("not kept and doc_id is not null").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col).cast("bigint") == F.col("__gone"), "left_anti")
+    """One row of each near-duplicate group of `docs`, with all its columns; rows with a null id and texts without words stay.
+
+    A group keeps the row with its smallest id. Rows are told apart by id and text: rows that share an id but are not alike all
+    stay in their groups; of alike rows with the smallest id one stays. No rows in, no rows out.
+    """
+    key, tag, row = free_names(docs, "near_doc", "near_tag", "near_row")
+    found = _near(docs, id_col, text_col).filter("kept and n_shingles > 0")
+    best = found.groupBy("comp").agg(F.min("tag").alias("best"), F.min("component_id").alias("component"))  # two components may bear one repeated id
+    best = settle(best.select("component", "best").distinct(), "near-kept").select(F.col("component").alias(key), F.col("best").alias(tag))
+    own, mine = F.col(id_col).cast("bigint"), row_tag(F.col(text_col))
+    words = F.length(F.btrim(whole(F.col(text_col)), F.lit(ASCII_SPACE))) > 0
+    linkable = own.isNotNull() & words
+    marked = docs.filter(linkable).join(best, (own == F.col(key)) & (mine == F.col(tag)))
+    kept = marked.withColumn(row, F.row_number().over(Window.partitionBy(key, tag).orderBy(F.lit(1)))).filter(F.col(row) == 1).select(*docs.columns)
+    return kept.unionByName(docs.filter(~linkable))

@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +23,7 @@ def pieces_of(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: in
     """Tokenised documents cut into pieces. Only the id, cut points and a checksum leave the worker; a batch holds few texts."""
 
     def cut(batches):
-        row = 0
+        row, task = 0, TaskContext.get().partitionId()
         for batch in batches:
             enc, out = encoder(path), []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -33,7 +34,7 @@ def pieces_of(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: in
                 end = n % capacity or min(n, capacity)
                 while start < n:
                     row += 1
-                    out.append((doc_id, piece, start, end - start, zlib.crc32(data[start:end].tobytes()), zlib.crc32(b"%d" % row)))
+                    out.append((doc_id, piece, start, end - start, zlib.crc32(data[start:end].tobytes()), zlib.crc32(b"%d %d" % (task, row))))
                     start, end, piece = end, end + capacity, piece + 1
             columns = list(zip(*out)) or [()] * 6
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import settle, summed, whole
+from .common import free_names, settle, summed, whole
 
 FEATURES = [
     "log_chars", "log_words", "log_lines", "word_length", "word_length_sd", "long_words", "short_words", "letters", "upper", "digits", "spaces",
@@ -179,16 +179,16 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     Statistics are computed once and written beside the rows, so no text is shuffled. Nulls, empty texts, repeated rows and
     missing labels are treated as in `quality_scores`; without labels of both classes all rows stay or all go.
     """
-    at = docs.columns.index(text_col)
-    measured = T.StructType([*docs.schema.fields, T.StructField("__x", T.ArrayType(T.DoubleType()))])
+    at, (extra,) = docs.columns.index(text_col), free_names(docs, "statistics")
+    measured = T.StructType([*docs.schema.fields, T.StructField(extra, T.ArrayType(T.DoubleType()))])
 
     def measure(batches):
         for batch in batches:
             x = pa.array([statistics(t or "") for t in batch.column(at).to_pylist()], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, x], names=[*batch.schema.names, "__x"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, x], names=[*batch.schema.names, extra])
 
     rows = settle(docs.mapInArrow(measure, measured), "measured")
-    model, rate = fitted(rows.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col("__x").alias("x")), labels)
+    model, rate = fitted(rows.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(extra).alias("x")), labels)
     if model is None:
         return docs if rate >= cut else docs.limit(0)
     held = docs.sparkSession.sparkContext.broadcast(model)

@@ -6,26 +6,13 @@ import re
 import zlib
 from itertools import permutations
 
-import duckdb
-import numpy as np
-import pytest
-from pyspark.sql import functions as F
-
 from inkwarden.llm import chat, filter_audit, period_runs, queries
 from inkwarden.llm.bpe import default_path
 
-from ..oracle import compare, connect
-
-SF = "/root/testdata/sf0.001"
 TURNS = "conv_id bigint, turn bigint, role string, text string, head string, k int, edge string"
 CLASHING = "doc_id bigint, text string, lang string, id string, mask int, part string, digest string, n int, words string, runs int"
 
 
-@pytest.mark.parametrize("name", sorted(n for n in queries.ORACLES if n in ("op11_chat_formatting", "op12_filter_audit")))
-def test_matches_sql(spark, name):
-    assert compare(spark, connect(SF), queries.QUERIES[name], queries.ORACLES[name], SF) == ""
-
-
 # ---------------------------------------------------------------- 11
 def turns(spark, rows):
     return spark.createDataFrame([(*r, "h", 1, "e") for r in rows], TURNS)
