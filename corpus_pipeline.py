@@ -9,6 +9,10 @@ from inkwarden.llm import decontaminate, line_dedup, near_dedup, packing, qualit
 from inkwarden.llm.common import settle, table
 
 
+#: Lines shorter than this go only when they repeat exactly: one edit makes another word, number or bracket of them.
+LINE_CHARS = 20
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
@@ -16,7 +20,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that repeat an earlier line, within one edit, go; n_chars follows the text."""
-    rest = line_dedup.drop_lines(docs, line_dedup.repeated_lines(docs))
+    rest = line_dedup.without_repeats(docs, min_chars=LINE_CHARS)
     if "n_chars" not in docs.columns:
         return rest
     return rest.select(*[F.length("text").cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])

@@ -100,7 +100,7 @@ def word_classes(chunks: DataFrame) -> DataFrame:
     need a place in a ranking. A chunk without words is like nothing and is a class of its own.
     """
     first = F.struct("source_id", "chunk_index", "chunk_id")
-    rows = chunks.select(first.alias("first"), F.array_sort(latin_words(F.col("text"))).alias("words"))
+    rows = chunks.select(first.alias("first"), F.sort_array(latin_words(F.col("text"))).alias("words"))
     alone = F.concat_ws(":", F.lit("#"), F.col("first.source_id").cast("string"), F.col("first.chunk_index").cast("string"), F.col("first.chunk_id"))
     key = F.sha2(F.when(F.size("words") == 0, alone).otherwise(F.array_join("words", " ")), 256)
     return rows.groupBy(key.alias("class")).agg(F.any_value("words").alias("words"), F.min("first").alias("first"))

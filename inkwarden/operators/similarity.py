@@ -16,14 +16,17 @@ MOST_HOT = 1000
 
 
 def word_sets(rows: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
-    """(id, words, set_key): sorted distinct words and a digest of them; rows without words are left out, since they are like nothing."""
-    sets = rows.select(F.col(id_col).alias("id"), F.array_sort(latin_words(F.col(text_col))).alias("words")).filter(F.size("words") > 0)
-    return sets.withColumn("set_key", F.unhex(F.sha2(F.array_join("words", " "), 256)))
+    """(row, id, words, set_key): distinct words and a digest of them; rows without words are left out, since they are like nothing.
+
+    The table is stored, and `row` numbers it.
+    """
+    sets = rows.select(F.col(id_col).alias("id"), F.sort_array(latin_words(F.col(text_col))).alias("words")).filter(F.size("words") > 0)
+    return stored(sets.select(F.monotonically_increasing_id().alias("row"), "id", "words", F.unhex(F.sha2(F.array_join("words", " "), 256)).alias("set_key")), "word-sets")
 
 
 def set_classes(sets: DataFrame) -> DataFrame:
-    """(set_key, class_id, class_size): rows with equal word sets are one class, named by its smallest id. Combined in each task first."""
-    return sets.groupBy("set_key").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
+    """(set_key, v, class_id, class_size): rows with equal word sets are one class. v is its first row, class_id its smallest id."""
+    return stored(sets.groupBy("set_key").agg(F.min("row").alias("v"), F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size")), "set-classes")
 
 
 def prefix_length(n: Column, at_least: Fraction) -> Column:
@@ -38,58 +41,64 @@ def shared_needed(na: Column, nb: Column, at_least: Fraction) -> Column:
 
 
 def by_rarity(sets: DataFrame, most_hot: int = MOST_HOT) -> DataFrame:
-    """(set_key, words): each set's words from the rarest to the most frequent, ties by the word.
+    """(v, words): each set (v, words) as word numbers from the rarest word to the most frequent, ties by the word.
 
-    Words that more than one in `most_hot` of all places hold are fewer than `most_hot`; they are broadcast with their counts.
-    The others meet their counts by a join on the word, which no word can dominate any more.
+    Words are numbered in that order by a distributed sort, so a set's words are ordered as plain numbers, equal words are equal
+    numbers, and no later step carries strings. Words that more than one in `most_hot` of all places hold are fewer than
+    `most_hot`; they are broadcast. The others meet their numbers by a join that no word can dominate any more.
     """
-    places = sets.select("set_key", F.explode("words").alias("word"))
-    counts = stored(places.groupBy("word").agg(F.count(F.lit(1)).alias("seen")), "word-counts")
+    places = sets.select("v", F.explode("words").alias("word"))
+    seen = stored(places.groupBy("word").agg(F.count(F.lit(1)).alias("seen")), "word-counts")
+    counts = stored(seen.orderBy("seen", "word").withColumn("no", F.monotonically_increasing_id()), "word-numbers")
     total = counts.agg(F.sum("seen")).first()[0] or 0
     hot = F.col("seen") * most_hot > total
-    often = counts.filter(hot).select("word", F.col("seen").alias("often"))
-    marked = places.join(F.broadcast(often), "word", "left")
-    ranked = marked.filter("often IS NOT NULL").select("set_key", F.struct(F.col("often").alias("seen"), "word").alias("w"))
-    rare = marked.filter("often IS NULL").select("set_key", "word").join(counts.filter(~hot), "word").select("set_key", F.struct("seen", "word").alias("w"))
-    return ranked.unionByName(rare).groupBy("set_key").agg(F.array_sort(F.collect_list("w")).alias("w")).select("set_key", F.col("w.word").alias("words"))
+    marked = places.join(F.broadcast(counts.filter(hot).select("word", F.col("no").alias("hot_no"))), "word", "left")
+    rare = marked.filter("hot_no IS NULL").select("v", "word").join(counts.filter(~hot).select("word", "no"), "word").select("v", "no")
+    numbered = marked.filter("hot_no IS NOT NULL").select("v", F.col("hot_no").alias("no")).unionByName(rare)
+    return stored(numbered.groupBy("v").agg(F.sort_array(F.collect_list("no")).alias("words")), "rare-first")
+
+
+def alike_sets(ordered: DataFrame, at_least: Fraction = AT_LEAST) -> DataFrame:
+    """(va, vb, shared, similarity) of all two of the ordered sets (v, words) with a Jaccard similarity of `at_least`.
+
+    The prefix filter: two alike sets share one of their first words, and only those are rows of the self-join, with the set's
+    size and the word's place. Of the sets that meet there only such stay whose sizes and places still allow enough shared
+    words; each pair is then verified once on its full sets.
+    """
+    n = F.size("words")
+    index = stored(ordered.select("v", n.alias("n"), F.posexplode(F.slice("words", F.lit(1), prefix_length(n, at_least))).alias("place", "word")), "prefixes")
+    a, b = (index.select("word", *[F.col(c).alias(f"{c}{s}") for c in ("v", "n", "place")]) for s in "ab")
+    left = F.least(F.col("na") - F.col("placea"), F.col("nb") - F.col("placeb"))
+    met = a.join(b, "word").filter(
+        ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("va") < F.col("vb"))))
+        & (F.col("na") * at_least.denominator >= F.col("nb") * at_least.numerator)
+        & (left + F.least("placea", "placeb") >= shared_needed(F.col("na"), F.col("nb"), at_least))
+    )
+    pairs = stored(met.select("va", "vb").distinct(), "set-pairs")
+    one, other = (ordered.select(F.col("v").alias(f"v{s}"), F.col("words").alias(f"w{s}")) for s in "ab")
+    both = pairs.join(one, "va").join(other, "vb").select("va", "vb", (F.size("wa") + F.size("wb")).alias("both"), F.size(F.array_intersect("wa", "wb")).alias("shared"))
+    union = F.col("both") - F.col("shared")
+    return both.filter(F.col("shared") * at_least.denominator >= union * at_least.numerator).select("va", "vb", "shared", (F.col("shared") / union).alias("similarity"))
 
 
 def near_dup_links(rows: DataFrame, id_col: str = "chunk_id", text_col: str = "text", at_least: Fraction = AT_LEAST) -> tuple[DataFrame, DataFrame]:
     """(classes, links). classes: id, class_id, class_size of every row with words. links: a, b, shared, similarity for every two
     classes whose word sets have a Jaccard similarity of `at_least`, a < b.
 
-    Equal sets collapse first, so copies are never paired. Then the prefix filter: two alike sets share one of their rarest words,
-    and only those few words of each set are rows of the self-join, with the set's size and the word's place. Of the sets that meet there
-    only such stay whose sizes and places still allow enough shared words; each pair is then verified once on its full sets.
-    Frequent words are in no prefix but those of sets that have nothing rarer. Work beyond the links themselves is bound
-    by what shares a rare word; the joins are plain sort-merge joins over stored tables, which adaptive execution splits.
+    Equal sets collapse first, so copies are never paired; the others are joined by `alike_sets`. Frequent words are in no
+    prefix but those of sets that have nothing rarer. Work beyond the links themselves is bound by what shares a rare
+    word; the joins are plain sort-merge joins over stored tables, which adaptive execution splits.
 
     Null and empty texts have no words and no row. Rows are told apart by content: repeated ids may have several rows in `classes`. Null ids
     take part; a class of null ids only has a null name and its links are not returned. Extra columns are ignored.
     """
-    sets = stored(word_sets(rows, id_col, text_col), "word-sets")
-    named = stored(set_classes(sets), "set-classes")
-    distinct = stored(sets.groupBy("set_key").agg(F.any_value("words").alias("words")), "distinct-sets")
-    ordered = stored(by_rarity(distinct), "rare-first")
-    n = F.size("words")
-    prefix = F.slice("words", F.lit(1), prefix_length(n, at_least))
-    index = stored(ordered.select("set_key", n.alias("n"), F.posexplode(prefix).alias("place", "word")), "prefixes")
-    a, b = (index.select("word", *[F.col(c).alias(f"{c}_{s}") for c in ("set_key", "n", "place")]) for s in "ab")
-    left = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
-    met = a.join(b, "word").filter(
-        (F.struct("n_a", "set_key_a") < F.struct("n_b", "set_key_b"))
-        & (F.col("n_a") * at_least.denominator >= F.col("n_b") * at_least.numerator)
-        & (left + F.least("place_a", "place_b") >= shared_needed(F.col("n_a"), F.col("n_b"), at_least))
-    )
-    pairs = stored(met.select("set_key_a", "set_key_b").distinct(), "set-pairs")
-    one, other = (distinct.select(F.col("set_key").alias(f"set_key_{s}"), F.col("words").alias(f"words_{s}")) for s in "ab")
-    both = pairs.join(one, "set_key_a").join(other, "set_key_b")
-    both = both.select("set_key_a", "set_key_b", F.size("words_a").alias("na"), F.size("words_b").alias("nb"), F.size(F.array_intersect("words_a", "words_b")).alias("shared"))
-    union = F.col("na") + F.col("nb") - F.col("shared")
-    alike = both.filter(F.col("shared") * at_least.denominator >= union * at_least.numerator).withColumn("similarity", F.col("shared") / union)
-    name = lambda s: named.select(F.col("set_key").alias(f"set_key_{s}"), F.col("class_id").alias(f"id_{s}"))
-    alike = alike.join(name("a"), "set_key_a").join(name("b"), "set_key_b")
-    links = alike.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), "shared", "similarity").filter("id_a IS NOT NULL AND id_b IS NOT NULL")
+    sets = word_sets(rows, id_col, text_col)
+    named = set_classes(sets)
+    copies = sets.join(named.filter("class_size > 1").select("set_key", "v"), "set_key").filter("row <> v").select("row")
+    ordered = by_rarity(sets.select("row", "words").join(copies, "row", "left_anti").select(F.col("row").alias("v"), "words"))
+    name = lambda s: named.select(F.col("v").alias(f"v{s}"), F.col("class_id").alias(f"id{s}"))
+    alike = alike_sets(ordered, at_least).join(name("a"), "va").join(name("b"), "vb").filter("ida IS NOT NULL AND idb IS NOT NULL")
+    links = alike.select(F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b"), "shared", "similarity")
     return sets.select("id", "set_key").join(named, "set_key").select("id", "class_id", "class_size"), links
 
 
