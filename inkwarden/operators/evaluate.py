@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import let, words
+from ..sources.files import stored
+from .jobs import BLOCK_BITS, in_order
 
 KEYS = ["entity_type", "start", "end"]
 
@@ -64,10 +66,20 @@ def best_checkpoint(checkpoints: DataFrame, by: str = "job_id") -> DataFrame:
     return checkpoints.groupBy(by).agg(F.coalesce(best, F.max_by("step", "ord")).alias("best_step"))
 
 
-def flag_best(checkpoints: DataFrame, by: str = "job_id") -> DataFrame:
-    """`was_best`: under all earlier eval losses when recorded; `is_best`: the last of those."""
-    before = Window.partitionBy(by).orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    least = F.min("eval_loss").over(before)
-    rows = checkpoints.withColumn("was_best", F.coalesce(F.col("eval_loss").isNotNull() & (least.isNull() | (F.col("eval_loss") < least)), F.lit(False)))
-    last = F.max(F.when(F.col("was_best"), F.col("ord"))).over(Window.partitionBy(by))
-    return rows.withColumn("is_best", F.col("was_best") & (F.col("ord") == last))
+def flag_best(checkpoints: DataFrame, by: str = "job_id", block_bits: int = BLOCK_BITS) -> DataFrame:
+    """`was_best`: under all earlier eval losses when recorded; `is_best`: the last of those.
+
+    A running minimum over blocks of neighbours (`in_order`): each block's least loss, the least of the blocks before it, then the
+    rows of a block from there. A job with a third of all rows is many blocks; only its blocks' minima meet in one window.
+    """
+    rows = in_order(checkpoints, by, ["ord"], block_bits)
+    least = rows.groupBy(by, "block").agg(F.min("eval_loss").alias("least"))
+    before = Window.partitionBy(by).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    entry = stored(least.withColumn("before", F.min("least").over(before)).select(F.col(by).alias("__by"), F.col("block").alias("__block"), "before"), "least-before")
+    rows = rows.join(entry, F.col(by).eqNullSafe(F.col("__by")) & (F.col("block") == F.col("__block")))
+    inside = Window.partitionBy(by, "block").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    so_far = F.least("before", F.min("eval_loss").over(inside))
+    rows = stored(rows.withColumn("was_best", F.coalesce(F.col("eval_loss").isNotNull() & (so_far.isNull() | (F.col("eval_loss") < so_far)), F.lit(False))).drop("__by", "__block", "before"), "was-best")
+    last = rows.filter("was_best").groupBy(F.col(by).alias("__by")).agg(F.max("row").alias("__last"))
+    marked = rows.join(last, F.col(by).eqNullSafe(F.col("__by")), "left").withColumn("is_best", F.coalesce(F.col("row") == F.col("__last"), F.lit(False)))
+    return marked.select(*checkpoints.columns, "was_best", "is_best")

@@ -357,10 +357,15 @@ def _(spark, sf_dir):
     return jobs.validate_requests(r).select("doc_id", "problems")
 
 
-@query("dp_ledger", "SELECT event_id, round(spent, 6) AS spent, round(spent, 6) <= 5 AS allowed FROM (SELECT event_id, sum(CASE WHEN event_type = 'purchase' THEN 0.5 ELSE 0.1 END) OVER (PARTITION BY user_id % 100 ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS spent FROM events)".replace("0.5 ELSE 0.1", "CAST(0.5 AS DOUBLE) ELSE CAST(0.1 AS DOUBLE)"))
-def _(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("event_id", "ts", (F.col("user_id") % 100).alias("tenant_id"), jobs.epsilon(F.when(F.col("event_type") == "purchase", "synthesize").otherwise("replace")).alias("epsilon"))
-    return jobs.ledger(e, 5.0, ["ts", "event_id"]).select("event_id", F.round("spent", 6).alias("spent"), (F.round("spent", 6) <= 5).alias("allowed"))
+@query("dp_ledger", """WITH RECURSIVE u AS (
+  SELECT event_id, user_id % 100 AS tenant, CASE WHEN event_type = 'purchase' THEN 5 ELSE 1 END AS need, event_type <> 'error' AS ok, row_number() OVER (PARTITION BY user_id % 100 ORDER BY ts, event_id) AS n FROM events
+), r AS (
+  SELECT event_id, tenant, n, need <= 50 AS allowed, CASE WHEN need <= 50 AND ok THEN need ELSE 0 END AS spent FROM u WHERE n = 1
+  UNION ALL SELECT u.event_id, u.tenant, u.n, r.spent + need <= 50, CASE WHEN r.spent + need <= 50 AND ok THEN r.spent + need ELSE r.spent END FROM r JOIN u ON u.tenant = r.tenant AND u.n = r.n + 1
+) SELECT event_id, allowed, round(CAST(spent AS DOUBLE) / 10, 6) AS spent FROM r""")
+def _(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", "ts", (F.col("user_id") % 100).alias("tenant_id"), jobs.epsilon(F.when(F.col("event_type") == "purchase", "synthesize").otherwise("replace")).alias("epsilon"), (F.col("event_type") != "error").alias("succeeded"))
+    return jobs.ledger(e, 5.0, ["ts", "event_id"]).select("event_id", "allowed", "spent")
 
 
 @query("batch_manifest", """SELECT o_custkey AS job_id, '{"job_id":' || o_custkey || ',"documents":[' || string_agg('{"document_id":' || o_orderkey || ',"status":"' || CASE WHEN o_orderstatus = 'F' THEN 'completed' ELSE 'failed' END || '"}', ',' ORDER BY o_orderkey) || ']}' AS manifest FROM orders GROUP BY o_custkey""")
