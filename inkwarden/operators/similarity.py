@@ -63,18 +63,24 @@ def alike_sets(ordered: DataFrame, at_least: Fraction = AT_LEAST) -> DataFrame:
 
     The prefix filter: two alike sets share one of their first words, and only those are rows of the self-join, with the set's
     size and the word's place. Of the sets that meet there only such stay whose sizes and places still allow enough shared
-    words; each pair is then verified once on its full sets.
+    words. Then the words two prefixes share are counted: of the set whose prefix ends earlier, all other shared words lie
+    behind its prefix, so they are no more than it has there. What this leaves is verified once on the full sets.
     """
     n = F.size("words")
-    index = stored(ordered.select("v", n.alias("n"), F.posexplode(F.slice("words", F.lit(1), prefix_length(n, at_least))).alias("place", "word")), "prefixes")
-    a, b = (index.select("word", *[F.col(c).alias(f"{c}{s}") for c in ("v", "n", "place")]) for s in "ab")
+    prefix = F.slice("words", F.lit(1), prefix_length(n, at_least))
+    rows = ordered.select("v", n.alias("n"), (n - F.size(prefix)).alias("behind"), F.element_at(prefix, -1).alias("last"), F.posexplode(prefix).alias("place", "word"))
+    index = stored(rows, "prefixes")
+    a, b = (index.select("word", *[F.col(c).alias(f"{c}{s}") for c in ("v", "n", "behind", "last", "place")]) for s in "ab")
     left = F.least(F.col("na") - F.col("placea"), F.col("nb") - F.col("placeb"))
+    needed = shared_needed(F.col("na"), F.col("nb"), at_least)
     met = a.join(b, "word").filter(
         ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("va") < F.col("vb"))))
         & (F.col("na") * at_least.denominator >= F.col("nb") * at_least.numerator)
-        & (left + F.least("placea", "placeb") >= shared_needed(F.col("na"), F.col("nb"), at_least))
+        & (left + F.least("placea", "placeb") >= needed)
     )
-    pairs = stored(met.select("va", "vb").distinct(), "set-pairs")
+    most_behind = F.when(F.col("lasta") == F.col("lastb"), F.least("behinda", "behindb")).when(F.col("lasta") < F.col("lastb"), F.col("behinda")).otherwise(F.col("behindb"))
+    counted = met.select("va", "vb", (needed - most_behind).alias("least")).groupBy("va", "vb", "least").agg(F.count(F.lit(1)).alias("met"))
+    pairs = stored(counted.filter(F.col("met") >= F.col("least")).select("va", "vb"), "set-pairs")
     one, other = (ordered.select(F.col("v").alias(f"v{s}"), F.col("words").alias(f"w{s}")) for s in "ab")
     both = pairs.join(one, "va").join(other, "vb").select("va", "vb", (F.size("wa") + F.size("wb")).alias("both"), F.size(F.array_intersect("wa", "wb")).alias("shared"))
     union = F.col("both") - F.col("shared")
