@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -9,9 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import looked_up, settle
+from .common import free_names, looked_up, row_tag, settle
 
-PIECES = "doc_id bigint, at int, words int, start int, stop int, anchor bigint, d0 bigint, d1 bigint"
+PIECES = "doc_id bigint, tag bigint, at int, words int, start int, stop int, anchor bigint, d0 bigint, d1 bigint"
+#: Blocks of scripts that are written without blanks (Thai to Myanmar, Khmer, kana, Han). Each of their letters counts as a word.
+UNSPACED = [(0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)]
+_BLANK_LINE = re.compile(r"\n\s*\n")
 #: Odd multipliers of the two polynomial hashes; each is 3 modulo 8, so that powers differ in a low bit.
 _BASES = (0x9E3779B97F4A7C13, 0xC2B2AE3D27D4EB4B)
 
@@ -24,8 +28,11 @@ def _mix(x: np.ndarray, salt: int) -> np.ndarray:
 
 @lru_cache(2)
 def _kinds() -> np.ndarray:
-    """For each code point: 1 for letters, digits and the underscore, 2 for white space, else 0."""
-    return np.array([1 if c.isalnum() or c == "_" else 2 if c.isspace() else 0 for c in map(chr, range(0x110000))], np.uint8)
+    """For each code point: 1 for letters, digits and the underscore, 2 for white space, 3 for letters that are words of their own, else 0."""
+    kinds = np.array([1 if c.isalnum() or c == "_" else 2 if c.isspace() else 0 for c in map(chr, range(0x110000))], np.uint8)
+    for first, last in UNSPACED:
+        kinds[first : last + 1] = np.where(kinds[first : last + 1] == 1, 3, kinds[first : last + 1])
+    return kinds
 
 
 @lru_cache(64)
@@ -56,8 +63,9 @@ class _Words:
             low = text.replace("İ", "i").lower()
         code = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
         kind = _kinds()[code]
-        step = np.diff(np.concatenate([[0], (kind == 1).view(np.int8), [0]]))
-        self.starts, self.stops = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+        run, alone = np.concatenate([[False], kind == 1, [False]]), kind == 3
+        self.starts = np.flatnonzero(run[1:-1] & ~run[:-2] | alone)
+        self.stops = np.flatnonzero(run[1:-1] & ~run[2:] | alone) + 1
         self.blanks, self.length = np.flatnonzero(kind == 2), len(code)
         self.n = len(self.starts)
         value = _mix(code.astype(np.uint64), 1)
@@ -90,15 +98,26 @@ def _slid(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def _batch(rows):
-    """A batch of (doc_id, at, words, start, stop, anchor, d0, d1), all but the id arrays."""
-    ids = [r[0] for r in rows for _ in range(len(r[1]))]
+    """A batch of (doc_id, tag, at, words, start, stop, anchor, d0, d1), all but the id and tag arrays."""
+    once = lambda k: pa.array([r[k] for r in rows for _ in range(len(r[2]))], pa.int64())
     many = lambda k, kind: pa.array(np.concatenate([r[k] for r in rows]).astype(np.int64)).cast(kind)
-    columns = [pa.array(ids, pa.int64()), *[many(k, pa.int32()) for k in range(1, 5)], *[many(k, pa.int64()) for k in range(5, 8)]]
+    columns = [once(0), once(1), *[many(k, pa.int32()) for k in range(2, 6)], *[many(k, pa.int64()) for k in range(6, 9)]]
     return pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in PIECES.split(", ")])
 
 
-def pieces(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """All windows of `width` words, in groups.
+def _paragraphs(text: str, w: _Words, least: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first, last) words of the paragraphs between blank lines that have `least` words, but fewer than a window."""
+    cuts = [m.span() for m in _BLANK_LINE.finditer(text)]
+    if not cuts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    first = np.searchsorted(w.starts, [0, *[stop for _, stop in cuts]])
+    last = np.searchsorted(w.starts, [*[start for start, _ in cuts], len(text)])
+    right = (last - first >= least) & (last - first < width)
+    return first[right], last[right]
+
+
+def pieces(docs: DataFrame, id_col: str, text_col: str, width: int, paragraph_words: int) -> DataFrame:
+    """All windows of `width` words, in groups, and shorter paragraphs between blank lines as they are.
 
     A group holds neighbouring windows with the same smallest hash of a few words, its `anchor`: those within the words
     at..at+words-1. Equal windows have equal anchors, whatever surrounds them. d0, d1 are a digest of a row's words.
@@ -108,63 +127,75 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame
     def cut(batches):
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for doc_id, tag, text in zip(*[c.to_pylist() for c in batch.columns]):
                 w = _Words(text)
+                first, last = _paragraphs(text, w, paragraph_words, width)
+                if len(first):
+                    out.append((doc_id, tag, first, last - first, *w.offsets(first, last), np.zeros_like(first), *w.digests(first, last, 4)))
                 if w.n >= width:
                     at = np.arange(w.n - gram + 1)
                     least = _slid(_mix(w.sums[0].of(at, at + gram), 3), width - gram + 1)
                     first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
                     last = np.concatenate([first[1:], [len(least)]]) + (width - 1)
-                    out.append((doc_id, first, last - first, *w.offsets(first, last), least[first].view(np.int64), *w.digests(first, last)))
+                    out.append((doc_id, tag, first, last - first, *w.offsets(first, last), least[first].view(np.int64), *w.digests(first, last)))
             if out:
                 yield _batch(out)
 
-    return docs.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string")).filter(F.length(text_col) >= width).mapInArrow(cut, PIECES)
+    return _texts(docs, id_col, text_col, min(width, paragraph_words)).mapInArrow(cut, PIECES)
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str, chars: int) -> DataFrame:
+    """(id, tag, text) of the rows with so many characters at least."""
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("bigint").alias("__id"), row_tag(text).alias("__tag"), text.alias("__text")).filter(F.length("__text") >= chars)
 
 
 def single_windows(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """The windows of `groups` (doc_id, at, words), each a row with its own digest; anchors are 0."""
-    by_doc = groups.groupBy("doc_id").agg(F.collect_list("at").alias("at"), F.collect_list("words").alias("words"))
+    """The windows of `groups` (doc_id, tag, at, words), each a row with its own digest; anchors are 0."""
+    by_doc = groups.groupBy("doc_id", "tag").agg(F.collect_list("at").alias("at"), F.collect_list("words").alias("words"))
 
     def cut(batches):
         for batch in batches:
-            for doc_id, text, at, words in zip(*[c.to_pylist() for c in batch.columns]):
+            for doc_id, tag, text, at, words in zip(*[c.to_pylist() for c in batch.columns]):
                 w = _Words(text)
                 first = np.unique(np.concatenate([np.arange(a, a + n - width + 1) for a, n in zip(at, words)]))
                 first = first[first <= w.n - width]
                 if len(first):
                     last = first + width
-                    yield _batch([(doc_id, first, last - first, *w.offsets(first, last), np.zeros_like(first), *w.digests(first, last))])
+                    yield _batch([(doc_id, tag, first, last - first, *w.offsets(first, last), np.zeros_like(first), *w.digests(first, last))])
 
-    texts = docs.select(F.col(id_col).cast("bigint").alias("__id"), F.col(text_col).cast("string").alias("__text")).filter(F.length("__text") >= width)
-    return texts.join(by_doc, F.col("__id").eqNullSafe(F.col("doc_id"))).select("__id", "__text", "at", "words").mapInArrow(cut, PIECES)
+    texts = _texts(docs, id_col, text_col, width)
+    return texts.join(by_doc, F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__tag") == F.col("tag"))).select("__id", "__tag", "__text", "at", "words").mapInArrow(cut, PIECES)
 
 
-def place_code(doc_id, unit):
-    """One decimal that sorts by document, then unit; a null id comes last."""
-    return (F.coalesce(doc_id, F.lit(2**63 - 1)).cast("decimal(19,0)") * F.lit(2**31).cast("decimal(10,0)") + unit.cast("decimal(10,0)")).cast("decimal(38,0)")
+def place_code(doc_id, tag, unit):
+    """One decimal that sorts by document, 32 bits of the row's tag, then unit; a null id comes last."""
+    wide = lambda x, digits: x.cast(f"decimal({digits},0)")
+    row = wide(F.coalesce(doc_id, F.lit(2**63 - 1)), 19) * wide(F.lit(2**32), 10) + wide(tag.bitwiseAND(F.lit(2**32 - 1)), 10)
+    return wide(wide(row, 30) * wide(F.lit(2**31), 10) + wide(unit, 10), 38)
 
 
 def place_doc(place):
     """The document of a place."""
-    step = F.lit(2**31).cast("decimal(38,0)")
-    doc = ((place - F.pmod(place, step)) / F.lit(2**31).cast("decimal(10,0)")).cast("bigint")
+    step = F.lit(str(2**63)).cast("decimal(38,0)")
+    doc = ((place - F.pmod(place, step)) / F.lit(str(2**63)).cast("decimal(19,0)")).cast("bigint")
     return F.nullif(doc, F.lit(2**63 - 1))
 
 
 def with_first(rows: DataFrame, width: int) -> DataFrame:
     """Stored `rows` with keep_doc_id, the document that has the row's digest first, and `repeat`: that place lies before, without overlap of windows."""
-    rows = rows.withColumn("place", place_code(F.col("doc_id"), F.col("at")))
+    rows = rows.withColumn("place", place_code(F.col("doc_id"), F.col("tag"), F.col("at")))
     firsts = rows.groupBy("d0", "d1").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    compared = looked_up(rows, settle(firsts, "piece-firsts"), ["d0", "d1"], ["doc_id", "at"]).withColumn("repeat", F.coalesce(F.col("place") - F.col("first") >= width, F.lit(False)))
+    compared = looked_up(rows, settle(firsts, "piece-firsts"), ["d0", "d1"], ["doc_id", "tag", "at"]).withColumn("repeat", F.coalesce(F.col("place") - F.col("first") >= F.least(F.lit(width), F.col("words")), F.lit(False)))
     return compared.withColumn("keep_doc_id", place_doc(F.col("first"))).drop("place", "first", "met", "d0", "d1")
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 40) -> DataFrame:
-    """Spans to remove: doc_id, start, stop (code points of the original text), words, units, keep_doc_id.
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 40, paragraph_words: int = 10) -> DataFrame:
+    """Spans to remove: doc_id, tag, start, stop (code points of the original text), words, units, keep_doc_id.
 
-    Words are compared in lower case and without what stands between them. The units are all paragraphs of `min_words`
-    words, wherever they begin and end; one that occurs before, in an earlier document or further up in the same (without
+    Words are compared in lower case and without what stands between them; of scripts without blanks each letter is a word. The
+    units are all paragraphs of `min_words` words, wherever they begin and end, and the shorter ones of `paragraph_words` words or
+    more that stand between blank lines; one that occurs before, in an earlier document or further up in the same (without
     overlap), is a repeat. So every verbatim repeat of that many words is found whole, and nothing else is. Repeats that
     touch or overlap form a span. `units` is how many units fit in the span, keep_doc_id the document of an earlier
     occurrence of its longest part.
@@ -175,26 +206,27 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Digests are combined map-side, so a unit that a third of all rows share is one row a task; first occurrences are
     brought back by `looked_up`, which keeps hot digests and anchors from meeting in one task. The last step groups by
-    document only. Null and empty texts have none; rows with equal ids count as one document, so rows repeated whole are no
-    repeats of each other; a null id comes last. Extra columns are ignored. No rows in, no rows out.
+    document only. Null and empty texts have none; rows are told apart by id and text (`tag`), so rows that share an id, or have none,
+    keep what is theirs; rows repeated whole are no repeats of each other; a null id comes last. Extra columns are ignored. No rows in, no rows out.
     """
-    compared = settle(with_first(settle(pieces(docs, id_col, text_col, min_words), "pieces"), min_words), "compared")
-    rest = compared.filter("not repeat").select("doc_id", "at", "words", "anchor")
+    compared = settle(with_first(settle(pieces(docs, id_col, text_col, min_words, paragraph_words), "pieces"), min_words), "compared")
+    rest = compared.filter(f"not repeat and words >= {min_words}").select("doc_id", "tag", "at", "words", "anchor")
     kinds = rest.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.max("words").alias("most")).filter(F.expr(f"n > 1 or most >= {2 * min_words}")).drop("most")
-    rest = looked_up(rest, settle(kinds, "anchors"), ["anchor"], ["doc_id", "at"]).filter("met")
+    rest = looked_up(rest, settle(kinds, "anchors"), ["anchor"], ["doc_id", "tag", "at"]).filter("met")
     windows = with_first(settle(single_windows(docs, rest, id_col, text_col, min_words), "windows"), min_words)
     found = compared.filter("repeat").unionByName(windows.filter("repeat")).withColumn("end", F.col("at") + F.col("words"))
-    by_doc = Window.partitionBy("doc_id").orderBy("at", "end")
+    by_doc = Window.partitionBy("doc_id", "tag").orderBy("at", "end")
     before = F.max("end").over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
     runs = found.withColumn("new", F.when(F.col("at") <= before, 0).otherwise(1)).withColumn("run", F.sum("new").over(by_doc.rowsBetween(Window.unboundedPreceding, 0)))
     long = F.max("end") - F.min("at")
-    spans = runs.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), long.cast("bigint").alias("words"), (long - (min_words - 1)).cast("bigint").alias("units"), F.max_by("keep_doc_id", "words").alias("keep_doc_id"))
+    spans = runs.groupBy("doc_id", "tag", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), long.cast("bigint").alias("words"), F.greatest(long - (min_words - 1), F.lit(1)).cast("bigint").alias("units"), F.max_by("keep_doc_id", "words").alias("keep_doc_id"))
     return spans.drop("run")
 
 
 def remove_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with the spans cut out of their texts, and the cut spans of the original as an array column `removed`."""
-    by_doc = spans.groupBy(F.col("doc_id").alias("__id")).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("removed"))
+    key, tag = free_names(docs, "span_doc", "span_tag")
+    by_doc = spans.groupBy(F.col("doc_id").alias(key), F.col("tag").alias(tag)).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("removed"))
     text = F.col(text_col)
     fold = F.aggregate(
         "removed",
@@ -202,5 +234,5 @@ def remove_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text
         lambda a, x: F.struct(F.concat(a["b"], F.substring(text, a["p"] + 1, x["start"] - a["p"])).alias("b"), x["stop"].alias("p")),
         lambda a: F.concat(a["b"], F.substring(text, a["p"] + 1, F.length(text))),
     )
-    joined = docs.join(by_doc, F.col(id_col).eqNullSafe(F.col("__id")), "left")
+    joined = docs.join(by_doc, F.col(id_col).cast("bigint").eqNullSafe(F.col(key)) & (row_tag(text) == F.col(tag)), "left")
     return joined.select(*[F.when(F.col("removed").isNull(), text).otherwise(fold).alias(c) if c == text_col else F.col(c) for c in docs.columns], "removed")

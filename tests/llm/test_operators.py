@@ -208,6 +208,29 @@ def brute_force_repeats(texts, width):
     return out
 
 
+def cut_texts(d):
+    return sorted(((r["doc_id"], r["text"]) for r in line_repeats.remove_spans(d, line_repeats.repeated_spans(d)).collect()), key=repr)
+
+
+@pytest.mark.parametrize("again", [7, None])
+def test_repeats_are_cut_from_their_own_rows(spark, again):
+    rng = random.Random(61)
+    w, v = prose(rng, 60), prose(rng, 60)
+    kept = cut_texts(docs(spark, [(1, w), (again, "intro " + w), (again, v), (again, None)]))
+    assert kept == sorted([(1, w), (again, "intro "), (again, v), (again, None)], key=repr)
+
+
+def test_short_paragraphs_and_scripts_without_blanks(spark):
+    rng = random.Random(62)
+    paragraph = prose(rng, 30)
+    texts = [f"{prose(rng, 20)} start{k}.\n\n{paragraph}\n \n{prose(rng, 20)} end{k}." for k in range(6)]
+    spans = line_repeats.repeated_spans(docs(spark, texts)).collect()
+    assert sorted((r["doc_id"], texts[r["doc_id"]][r["start"] : r["stop"]], r["words"], r["keep_doc_id"]) for r in spans) == [(k, paragraph, 30, 0) for k in range(1, 6)]
+    han = "，".join("".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(15)) for _ in range(30)) + "。"
+    spans = line_repeats.repeated_spans(docs(spark, [han, "前言" + han, "不同的文字" * 3])).collect()
+    assert [(r["doc_id"], r["start"], r["stop"]) for r in spans] == [(1, 2, 2 + len(han))]
+
+
 def test_repeats_that_begin_and_end_inside_sentences(spark):
     rng = random.Random(14)
     texts = [None, "x " * 3000, "X, " * 50, "a b c " * 60]
