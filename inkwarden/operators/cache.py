@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .retrieve import vector_top_k
+from ..functions.text import dot
+from ..sources.files import stored
+from .retrieve import top_k
 
 TTL, CAPACITY, SIMILAR = 3600, 512, 0.92
+#: Width of a ring around a pivot, in radians.
+RING = 0.05
 
 
 def cache_key(prompt: Column, config_json: Column, prefix: str = "prompt") -> Column:
@@ -27,10 +34,83 @@ def exact(requests: DataFrame, entries: DataFrame) -> DataFrame:
     return requests.join(live, hit, "left").select(*[requests[c] for c in requests.columns], live["response"])
 
 
-def semantic(requests: DataFrame, entries: DataFrame, at_least: float = SIMILAR) -> DataFrame:
-    """(request_id, entry_id, similarity): the most similar entry with a positive dot of at least `at_least`."""
-    best = vector_top_k(requests, entries, "request_id", "entry_id", 1)
-    return best.filter((F.col("score") > 0) & (F.col("score") >= at_least)).select("request_id", "entry_id", F.col("score").alias("similarity"))
+def pivot_vectors(entries: DataFrame, pivots: int) -> np.ndarray:
+    """At most `pivots` unit vectors of the entries, picked by hash: what the index is fitted on. They are all that reaches the driver."""
+    rows = entries.orderBy(F.xxhash64("entry_id"), "entry_id").limit(pivots).collect()
+    if not rows:
+        return np.zeros((0, 1))
+    found = np.array([r.embedding for r in rows], float)
+    norms = np.linalg.norm(found, axis=1)
+    return found[norms > 0] / norms[norms > 0, None]
+
+
+def _angles(batch: pa.RecordBatch, column: int, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(angles to the pivots, norms) of a batch's vectors; a vector of zeros lies at a right angle to all."""
+    x = batch.column(column).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
+    norm = np.linalg.norm(x, axis=1)
+    return np.arccos(np.clip(x @ pivots.T / np.where(norm > 0, norm, 1)[:, None], -1, 1)), norm
+
+
+def pivot_index(entries: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """Every entry (entry_id, embedding) under its nearest pivot, in the ring of its angle there: pivot, ring, angle, norm.
+
+    Entries with equal vectors are one, the smallest id, which is the one that wins a tie; so many copies are no large ring.
+    """
+
+    def place(batches):
+        for b in batches:
+            if b.num_rows:
+                angles, norm = _angles(b, 1, pivots)
+                nearest = angles.argmin(1)
+                angle = angles[np.arange(len(nearest)), nearest]
+                extra = [pa.array(nearest.astype(np.int32)), pa.array((angle / RING).astype(np.int32)), pa.array(angle), pa.array(norm)]
+                yield pa.RecordBatch.from_arrays([*b.columns, *extra], names=[*b.schema.names, "pivot", "ring", "angle", "norm"])
+
+    distinct = entries.groupBy("embedding").agg(F.min("entry_id").alias("entry_id")).select("entry_id", "embedding")
+    return distinct.mapInArrow(place, T.StructType([*distinct.schema.fields, *T.StructType.fromDDL("pivot int, ring int, angle double, norm double").fields]))
+
+
+def candidates(requests: DataFrame, index: DataFrame, pivots: np.ndarray, at_least: float) -> DataFrame:
+    """(request_id, q, entry_id, embedding) of all pairs that can reach a dot of `at_least`.
+
+    The triangle inequality of angles: an entry at angle t from its pivot is at least |t - p| from a request at angle p from that pivot,
+    so a request visits only rings within its reach, the angle whose cosine, with its norm and the ring's largest, is `at_least`.
+    The bound is exact: rings are passed over only where no entry can qualify. Of the index, the driver sees which rings exist.
+    """
+    seen = index.groupBy("pivot", "ring").agg(F.max("norm").alias("norm")).collect()  # as many as pivots times rings at most
+    rings, longest = np.array([(r.pivot, r.ring) for r in seen], int).reshape(-1, 2), np.array([r.norm for r in seen], float)
+
+    def visit(batches):
+        for whole in batches:
+            for begin in range(0, whole.num_rows, 256):  # so that requests times rings stay few
+                b = whole.slice(begin, 256)
+                angles, norm = _angles(b, 1, pivots)
+                with np.errstate(divide="ignore"):
+                    least = at_least / (norm[:, None] * longest)
+                reach = np.where(least > 1 + 1e-6, -1.0, np.arccos(np.clip(least, -1, 1)) + 1e-5)
+                at, low = angles[:, rings[:, 0]], rings[:, 1] * RING
+                row, ring = np.nonzero((at + reach >= low) & (at - reach <= low + RING) & (reach > 0))
+                picked = [c.take(pa.array(row)) for c in b.columns]
+                yield pa.RecordBatch.from_arrays([*picked, pa.array(rings[ring, 0].astype(np.int32)), pa.array(rings[ring, 1].astype(np.int32))], names=[*b.schema.names, "pivot", "ring"])
+
+    asked = requests.select("request_id", F.col("embedding").alias("q"))
+    visits = asked.mapInArrow(visit, T.StructType([*asked.schema.fields, *T.StructType.fromDDL("pivot int, ring int").fields]))
+    return visits.join(index.select("pivot", "ring", "entry_id", "embedding"), ["pivot", "ring"]).select("request_id", "q", "entry_id", "embedding")
+
+
+def semantic(requests: DataFrame, entries: DataFrame, at_least: float = SIMILAR, pivots: int = 64) -> DataFrame:
+    """(request_id, entry_id, similarity): the most similar entry with a positive dot of at least `at_least`; ties go to the smaller id.
+
+    Equal to a comparison of all pairs, by a pivot index over all entries (`pivot_index`, `candidates`). Null vectors match nothing.
+    """
+    entries, requests = (x.filter(F.size("embedding") > 0) for x in (entries.select("entry_id", "embedding"), requests))
+    chosen = pivot_vectors(entries, pivots)
+    if not len(chosen):
+        return requests.limit(0).select("request_id", F.lit(None).cast(entries.schema["entry_id"].dataType).alias("entry_id"), F.lit(0.0).alias("similarity"))
+    index = stored(pivot_index(entries, chosen), "pivot-index")
+    scores = candidates(requests, index, chosen, at_least).select("request_id", "entry_id", F.greatest(F.lit(0.0), dot(F.col("q"), F.col("embedding"))).alias("score"))
+    best = top_k(scores.filter((F.col("score") > 0) & (F.col("score") >= at_least)), "request_id", "entry_id", 1)
+    return best.select("request_id", "entry_id", F.col("score").alias("similarity"))
 
 
 def lookup(requests: DataFrame, entries: DataFrame, at_least: float = SIMILAR) -> DataFrame:

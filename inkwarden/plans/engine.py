@@ -271,28 +271,36 @@ def _(spark, sf_dir):
 
 
 DOT_SQL = "greatest(0.0, list_sum(list_transform(range(1, len(q.embedding) + 1), lambda i: CAST(q.embedding[i] AS DOUBLE) * CAST(v.embedding[i] AS DOUBLE))))"
-SEMANTIC_SQL = f"SELECT request_id, entry_id, s AS similarity FROM (SELECT q.vec_id AS request_id, v.vec_id AS entry_id, {DOT_SQL} AS s FROM embeddings q JOIN embeddings v ON q.vec_id % 10 = 0 AND v.vec_id % 10 <> 0 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY s DESC, v.vec_id) = 1) WHERE s >= 0.5"
+#: Requests lie between two vectors of the table: those with an even number of tens near the second, which is an entry, the others between both.
+ASKED_SQL = "(SELECT a.vec_id, list_transform(range(1, len(a.embedding) + 1), lambda i: CAST(a.embedding[i] AS DOUBLE) + CASE WHEN a.vec_id % 20 = 0 THEN 4 ELSE 1 END * CAST(b.embedding[i] AS DOUBLE)) AS x FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 10 = 0)"
+UNIT_SQL = f"(SELECT vec_id, list_transform(x, lambda y: y / sqrt(list_sum(list_transform(x, lambda z: z * z)))) AS embedding FROM {ASKED_SQL})"
+SEMANTIC_SQL = f"SELECT request_id, entry_id, s AS similarity FROM (SELECT q.vec_id AS request_id, v.vec_id AS entry_id, {DOT_SQL} AS s FROM {UNIT_SQL} q JOIN embeddings v ON v.vec_id % 10 <> 0 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY s DESC, v.vec_id) = 1) WHERE s >= 0.92"
 
 
 def vector_requests(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return e.filter("vec_id % 10 = 0").select(F.col("vec_id").alias("request_id"), "embedding"), e.filter("vec_id % 10 <> 0").select(F.col("vec_id").alias("entry_id"), "embedding")
+    a = e.filter("vec_id % 10 = 0").join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("next")), "vec_id")
+    weight = F.when(F.col("vec_id") % 20 == 0, 4).otherwise(1)
+    a = a.select(F.col("vec_id").alias("request_id"), F.zip_with("embedding", "next", lambda x, y: x.cast("double") + weight * y.cast("double")).alias("x"))
+    norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, z: s + z * z))
+    a = a.withColumn("norm", norm).select("request_id", F.transform("x", lambda y: y / F.col("norm")).alias("embedding"))
+    return a, e.filter("vec_id % 10 <> 0").select(F.col("vec_id").alias("entry_id"), "embedding")
 
 
 @query("cache_semantic", f"SELECT request_id, entry_id, round(similarity, 6) AS similarity FROM ({SEMANTIC_SQL})")
 def _(spark, sf_dir):
-    return cache.semantic(*vector_requests(spark, sf_dir), 0.5).withColumn("similarity", F.round("similarity", 6))
+    return cache.semantic(*vector_requests(spark, sf_dir)).withColumn("similarity", F.round("similarity", 6))
 
 
 def looked_up(spark, sf_dir):
     req, ent = vector_requests(spark, sf_dir)
     req = req.withColumns({"cache_key": F.concat(F.lit("k"), (F.col("request_id") % 30).cast("string")), "at": F.lit(10)})
     ent = ent.withColumns({"cache_key": F.concat(F.lit("k"), (F.col("entry_id") % 31).cast("string")), "created_at": F.lit(5), "ttl": F.lit(3600), "response": F.concat(F.lit("r"), F.col("entry_id").cast("string"))})
-    return cache.lookup(req, ent, 0.5)
+    return cache.lookup(req, ent)
 
 
 LOOKUP_SQL = f"""SELECT q.vec_id AS request_id, CASE WHEN e.entry_id IS NOT NULL THEN 'hit' WHEN s.entry_id IS NOT NULL THEN 'semantic_hit' ELSE 'miss' END AS outcome, 'r' || coalesce(e.entry_id, s.entry_id) AS response
-FROM embeddings q LEFT JOIN (SELECT vec_id % 31 AS k, max(vec_id) AS entry_id FROM embeddings WHERE vec_id % 10 <> 0 GROUP BY vec_id % 31) e ON q.vec_id % 30 = e.k LEFT JOIN ({SEMANTIC_SQL}) s ON s.request_id = q.vec_id WHERE q.vec_id % 10 = 0"""
+FROM {UNIT_SQL} q LEFT JOIN (SELECT vec_id % 31 AS k, max(vec_id) AS entry_id FROM embeddings WHERE vec_id % 10 <> 0 GROUP BY vec_id % 31) e ON q.vec_id % 30 = e.k LEFT JOIN ({SEMANTIC_SQL}) s ON s.request_id = q.vec_id WHERE q.vec_id % 10 = 0"""
 
 
 @query("cache_lookup", LOOKUP_SQL)
