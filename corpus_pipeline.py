@@ -1,4 +1,10 @@
-"""From raw documents to packed training sequences in five stages."""
+"""From raw documents to packed training sequences in five stages.
+
+In every stage a row is decided by its id and its text together, so rows that share an id, or have none, do not share a fate. Null
+and empty texts pass the middle stages as they are and are packed as an end token alone, unless the classifier rejects them.
+Repeated rows are lines, near copies and leaks like any others. Columns beside doc_id and text are kept, whatever their names, up to
+the packing. A stage without rows gives none, and without labels or benchmark items nothing is rejected.
+"""
 
 from __future__ import annotations
 
@@ -14,12 +20,12 @@ LINE_CHARS = 20
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go. Without labels of both classes all stay or all go by the known rate."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat an earlier line, within one edit, go; n_chars follows the text."""
+    """Lines that repeat an earlier line, within one edit, go, and with its last line a document; n_chars follows the text."""
     rest = line_dedup.without_repeats(docs, min_chars=LINE_CHARS)
     if "n_chars" not in docs.columns:
         return rest
@@ -27,12 +33,12 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
+    """One document of each near-duplicate group stays, the smallest id; null ids and texts without words are in no group."""
     return near_dedup.keep_one(docs)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage go."""
+    """Documents that hold a benchmark passage go; without items all stay."""
     return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 

@@ -95,26 +95,34 @@ def _(spark, sf_dir):
     return models(spark, sf_dir).join(customers(spark, sf_dir).select("c_custkey", "c_name"), "c_custkey").select("c_custkey", tpl.payload(provider, name, F.col("c_name")).alias("payload"))
 
 
-@query("domain_route", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'legal:clause' WHEN 1 THEN 'medical:soap_note' WHEN 2 THEN 'financial:report' END AS template_id FROM documents WHERE doc_id % 4 < 3")
+@query("domain_route", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'legal:clause' WHEN 1 THEN 'medical:soap_note' WHEN 2 THEN 'financial:report' END AS template_id FROM documents")
 def _(spark, sf_dir):
     routes = spark.createDataFrame([("legal", "clause", "legal:clause"), ("medical", "soap_note", "medical:soap_note"), ("financial", "report", "financial:report")], "domain string, kind string, template_id string")
     k = F.col("doc_id") % 4
     requests = docs(spark, sf_dir).select("doc_id", F.when(k == 0, "legal").when(k == 1, "medical").when(k == 2, "financial").otherwise("hr").alias("domain"), F.when(k == 0, "clause").when(k == 1, "soap_note").otherwise("report").alias("kind"))
-    return requests.join(routes, ["domain", "kind"]).select("doc_id", "template_id")
+    return requests.join(F.broadcast(routes), ["domain", "kind"], "left").select("doc_id", "template_id")
 
 
-@query("list_templates")
+@query("list_templates", """WITH t(template_id, domain) AS (VALUES ('general_document', 'general'), ('legal_clause', 'legal'), ('legal_brief', 'legal'), ('legal_compliance', 'legal'), ('medical_soap_note', 'medical'), ('medical_discharge', 'medical'), ('financial_report', 'financial'), ('financial_risk', 'financial'), ('financial_filing', 'financial'))
+SELECT d.domain, template_id, count(*) AS documents FROM (SELECT CASE doc_id % 4 WHEN 0 THEN 'legal' WHEN 1 THEN 'medical' WHEN 2 THEN 'financial' ELSE 'hr' END AS domain FROM documents) d LEFT JOIN t USING (domain) GROUP BY ALL""")
 def _(spark, sf_dir):
     from ..sources.templates import builtin_templates
 
-    return builtin_templates(spark).filter("domain in ('legal', 'financial')").select("template_id", "version", "domain", "description", F.array_join("required_variables", ", ").alias("required"))
+    k = F.col("doc_id") % 4
+    asked = docs(spark, sf_dir).select(F.when(k == 0, "legal").when(k == 1, "medical").when(k == 2, "financial").otherwise("hr").alias("domain"))
+    return asked.groupBy("domain").agg(F.count(F.lit(1)).alias("documents")).join(F.broadcast(builtin_templates(spark).select("domain", "template_id")), "domain", "left").select("domain", "template_id", "documents")
 
 
-@query("seed_scan")
+@query("seed_scan", "SELECT p_name AS name, p_brand AS domain, 'Write about {item} of size ' || p_size || '.' AS prompt_template, [p_type] AS example_documents, CAST([] AS VARCHAR[]) AS custom_entity_types, p_size % 7 = 0 AS is_platform_default FROM part")
 def _(spark, sf_dir):
-    from ..sources.templates import domain_seeds
+    """The parts written as a JSON file of domain seeds, and read back."""
+    from ..sources import files
 
-    return domain_seeds(spark)
+    prompt = F.concat(F.lit("Write about {item} of size "), F.col("p_size").cast("string"), F.lit("."))
+    seeds = table(spark, sf_dir, "part").select(F.col("p_name").alias("name"), F.col("p_brand").alias("domain"), prompt.alias("prompt_template"), F.array("p_type").alias("example_documents"), (F.col("p_size") % 7 == 0).alias("is_platform_default"))
+    path = files.scratch(spark, "seeds")
+    seeds.write.json(path)
+    return files.read_seeds(spark, path)
 
 
 @query("synthesize")

@@ -312,9 +312,12 @@ def _(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id").join(left, "doc_id", "left").select("doc_id", n.alias("leftovers"), F.when(n > 0, "failed").otherwise("completed").alias("status"))
 
 
-@query("blank_docs", "SELECT doc_id FROM documents WHERE text IS NULL OR trim(text) = ''")
+@query("blank_docs", "SELECT doc_id FROM documents WHERE text IS NULL OR trim(text) = '' OR doc_id % 7 < 2")
 def _(spark, sf_dir):
-    return docs(spark, sf_dir).filter(F.col("text").isNull() | (F.trim("text") == "")).select("doc_id")
+    """Rows that detection passes over; of seven documents one is made blank and one null first."""
+    k = F.col("doc_id") % 7
+    text = F.when(k == 0, F.repeat(F.lit(" "), F.length("text"))).when(k > 1, F.col("text"))
+    return docs(spark, sf_dir).select("doc_id", text.alias("text")).filter(F.col("text").isNull() | (F.trim("text") == "")).select("doc_id")
 
 
 @query("stream_anonymize", splice_sql("'[' || entity_type || ']'", spans_sql("documents", *known("EMAIL_ADDRESS", "IP_ADDRESS"))))

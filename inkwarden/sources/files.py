@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .templates import SEED_SCHEMA
+
 CORPUS = "text string, entities array<struct<entity_type:string,start:int,end:int>>"
 PAIRS = "original string, synthesized string"
 
@@ -58,6 +60,14 @@ def by_domain(corpus: DataFrame, domains: list[str]) -> DataFrame:
     return listed.join(counts, "domain", "left").select("domain", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("entities", F.lit(0)).alias("entities"))
 
 
+def read_seeds(spark: SparkSession, path: str, lines: bool = True) -> DataFrame:
+    """Domain seeds of JSON lines, or of files that each hold one JSON array; missing lists are empty and a missing flag is false."""
+    rows = spark.read.schema(SEED_SCHEMA).option("multiLine", not lines).json(path)
+    none = F.array().cast("array<string>")
+    filled = {c: F.coalesce(c, none) for c in ("example_documents", "custom_entity_types")} | {"is_platform_default": F.coalesce("is_platform_default", F.lit(False))}
+    return rows.withColumns(filled)
+
+
 def synthesis_pairs(spark: SparkSession, path: str) -> DataFrame:
     """original and synthesized, empty where missing."""
     return spark.read.schema(PAIRS).json(path).select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("original", "synthesized")])

@@ -37,3 +37,9 @@ def test_windows_count_all_rows_in_time(spark, tmp_path):
     q = counts_by_window(document_stream(spark, str(tmp_path / "e"), events.schema)).writeStream.outputMode("complete").format("memory").queryName("windows").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("windows").agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_seeds_of_arrays_and_lines(spark, tmp_path):
+    (tmp_path / "seeds.json").write_text('[{"name": "a", "domain": "legal", "prompt_template": "p {x}"},\n {"name": "b", "domain": "hr", "example_documents": ["e"], "is_platform_default": true, "other": 1}]')
+    rows = files.read_seeds(spark, str(tmp_path / "seeds.json"), lines=False).orderBy("name").collect()
+    assert [(r["name"], r["example_documents"], r["custom_entity_types"], r["is_platform_default"]) for r in rows] == [("a", [], [], False), ("b", ["e"], [], True)]
