@@ -98,6 +98,13 @@ def looked_up(rows: DataFrame, found: DataFrame, keys: list[str], deal: list[str
     return rows.select(*own, *[F.coalesce(f"__hot_{c}", f"__cold_{c}").alias(c) for c in others], F.coalesce("__hot", "__cold", F.lit(False)).alias("met"))
 
 
+def sliced(batches, rows: int = 256):
+    """The batches in slices of at most so many rows, so that a worker turns few texts into Python strings at a time."""
+    for batch in batches:
+        for begin in range(0, batch.num_rows, rows):
+            yield batch.slice(begin, rows)
+
+
 def summed(rows: DataFrame, of_batch, fan_in: int = 32) -> list[np.ndarray] | None:
     """Add up the arrays that `of_batch(*arrow columns)` gives, in each task first, then in rounds of `fan_in` sums a task.
 

@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, free_names, row_tag, settle, whole
+from .common import ASCII_SPACE, free_names, row_tag, settle, sliced, whole
 from .components import components
 
 WORDS = 5
@@ -23,7 +23,7 @@ class _WordHashes(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -89,7 +89,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches):
         known, orders = _WordHashes(), _orders()
-        for batch in batches:
+        for batch in sliced(batches):
             n, s0, s1, bands = [], [], [], []
             for text in batch.column(2).to_pylist():
                 s = shingle_set(text, known)
@@ -110,7 +110,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> D
 
     def run(batches):
         known = _WordHashes()
-        for batch in batches:
+        for batch in sliced(batches):
             v, found = [], []
             for node, s0, s1, text in zip(*[c.to_pylist() for c in batch.columns]):
                 s = shingle_set(text, known)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import default_path, encoder
-from .common import settle, whole
+from .common import settle, sliced, whole
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, lot bigint"
 PLACED = PIECES + ", sequence_id bigint, offset bigint"
@@ -24,7 +24,7 @@ def pieces_of(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: in
 
     def cut(batches):
         row, task = 0, TaskContext.get().partitionId()
-        for batch in batches:
+        for batch in sliced(batches):
             enc, out = encoder(path), []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = enc.ids(text)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_names, settle, summed, whole
+from .common import free_names, settle, sliced, summed, whole
 
 FEATURES = [
     "log_chars", "log_words", "log_lines", "word_length", "word_length_sd", "long_words", "short_words", "letters", "upper", "digits", "spaces",
@@ -50,7 +50,7 @@ def with_statistics(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id and an array column `x` of FEATURES, computed from the text alone."""
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             x = [statistics(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "x"])
 
@@ -183,7 +183,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     measured = T.StructType([*docs.schema.fields, T.StructField(extra, T.ArrayType(T.DoubleType()))])
 
     def measure(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             x = pa.array([statistics(t or "") for t in batch.column(at).to_pylist()], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*batch.columns, x], names=[*batch.schema.names, extra])
 
