@@ -29,7 +29,7 @@ def _mix(x: np.ndarray, salt: int) -> np.ndarray:
 @lru_cache(2)
 def _kinds() -> np.ndarray:
     """For each code point: 1 for letters, digits and the underscore, 2 for white space, 3 for letters that are words of their own, else 0."""
-    kinds = np.array([1 if c.isalnum() or c == "_" else 2 if c.isspace() else 0 for c in map(chr, range(0x110000))], np.uint8)
+    kinds = np.fromiter((1 if c.isalnum() or c == "_" else 2 if c.isspace() else 0 for c in map(chr, range(0x110000))), np.uint8, 0x110000)
     for first, last in UNSPACED:
         kinds[first : last + 1] = np.where(kinds[first : last + 1] == 1, 3, kinds[first : last + 1])
     return kinds

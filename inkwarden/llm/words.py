@@ -22,13 +22,13 @@ def mix(x: np.ndarray, salt: int) -> np.ndarray:
 @lru_cache(1)
 def kinds() -> np.ndarray:
     """For each code point: 1 for letters, digits and the underscore, 2 for white space, else 0."""
-    return np.array([1 if c.isalnum() or c == "_" else 2 if c.isspace() else 0 for c in map(chr, range(0x110000))], np.uint8)
+    return np.fromiter((1 if c.isalnum() or c == "_" else 2 if c.isspace() else 0 for c in map(chr, range(0x110000))), np.uint8, 0x110000)
 
 
 @lru_cache(1)
 def values() -> np.ndarray:
     """For each code point a hash of its lower-case letter (the first, where one letter becomes two)."""
-    return mix(np.array([ord(chr(c).lower()[0]) for c in range(0x110000)], np.uint64), 1)
+    return mix(np.fromiter((ord(chr(c).lower()[0]) for c in range(0x110000)), np.uint64, 0x110000), 1)
 
 
 @lru_cache(16)
