@@ -95,3 +95,17 @@ def test_custom_type_with_a_bad_pattern_is_refused(spark):
     assert jobs.create_entity_type(spark, types, {"name": "A", "patterns": ["a+"]}).count() == 1
     with pytest.raises(ValueError):
         jobs.create_entity_type(spark, types, {"name": "B", "patterns": ["("]})
+
+
+def test_chunk_edges_cut_no_value_whatever_their_place(spark):
+    texts = [("word " * 37 + "me.and.you@mail.example.com 10.20.30.40, " + "é😀 " * 9) * 12, "x" * 700 + "@example.com " + "y" * 300, "1.2.3.4@example.com " * 60, "a" * 250 + " 1.2.3.4"]
+    d = docs(spark, *texts)
+    columns = ["doc_id", "entity_type", "start", "end", "value"]
+    whole = sorted(map(tuple, detect.detect(d, ["EMAIL_ADDRESS", "IP_ADDRESS"]).select(columns).collect()))
+    for size, overlap in [(200, 40), (231, 77), (120, 0)]:
+        assert sorted(map(tuple, chunk.detect_in_chunks(d, ["EMAIL_ADDRESS", "IP_ADDRESS"], size, overlap).select(columns).collect())) == whole
+    cards = docs(spark, *[" " * k + "tel (555) 123-4567 card 4111 1111 1111 1111  and " * 20 for k in range(3)])
+    got = chunk.detect_in_chunks(cards, ["PHONE_NUMBER", "CREDIT_CARD"], 100, 30).select(columns).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, detect.detect(cards, ["PHONE_NUMBER", "CREDIT_CARD"]).select(columns).collect())) and len(got) == 120
+    resolved = {r[0]: r[1] for r in replace.resolve_rows(chunk.detect_in_chunks(d, ["EMAIL_ADDRESS", "IP_ADDRESS"], 200, 40)).groupBy("doc_id").count().collect()}
+    assert resolved == {r[0]: r[1] for r in replace.anonymize(d, "mask", ["EMAIL_ADDRESS", "IP_ADDRESS"]).selectExpr("doc_id", "size(spans)").collect() if r[1]}
