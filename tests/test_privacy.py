@@ -109,3 +109,10 @@ def test_chunk_edges_cut_no_value_whatever_their_place(spark):
     assert sorted(map(tuple, got)) == sorted(map(tuple, detect.detect(cards, ["PHONE_NUMBER", "CREDIT_CARD"]).select(columns).collect())) and len(got) == 120
     resolved = {r[0]: r[1] for r in replace.resolve_rows(chunk.detect_in_chunks(d, ["EMAIL_ADDRESS", "IP_ADDRESS"], 200, 40)).groupBy("doc_id").count().collect()}
     assert resolved == {r[0]: r[1] for r in replace.anonymize(d, "mask", ["EMAIL_ADDRESS", "IP_ADDRESS"]).selectExpr("doc_id", "size(spans)").collect() if r[1]}
+
+
+def test_a_mask_uncovers_a_card(spark):
+    d = docs(spark, "pay 4451718024887799 27.65.93.188 now", "nothing", None, "", "42 4366089147969128 1.2.3.4")
+    out = {r["doc_id"]: (r["anonymized_text"], len(r["spans"])) for r in replace.mask_until_clean(d, ["CREDIT_CARD", "IP_ADDRESS"]).collect()}
+    assert out[0] == ("pay [CREDIT_CARD] [IP_ADDRESS] now", 0) and out[1] == ("nothing", 0) and out[2] == (None, 0) and out[3] == ("", 0)
+    assert len(out) == 5 and all(n == 0 for _, n in out.values())
