@@ -116,3 +116,8 @@ def test_a_mask_uncovers_a_card(spark):
     out = {r["doc_id"]: (r["anonymized_text"], len(r["spans"])) for r in replace.mask_until_clean(d, ["CREDIT_CARD", "IP_ADDRESS"]).collect()}
     assert out[0] == ("pay [CREDIT_CARD] [IP_ADDRESS] now", 0) and out[1] == ("nothing", 0) and out[2] == (None, 0) and out[3] == ("", 0)
     assert len(out) == 5 and all(n == 0 for _, n in out.values())
+
+
+def test_detection_matches_patterns_once(spark):
+    plan = detect.detect(docs(spark, "1.2.3.4"), ["IP_ADDRESS"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
