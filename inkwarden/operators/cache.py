@@ -8,9 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import dot
 from ..sources.files import stored
-from .retrieve import top_k
+from .retrieve import MOST_QUERIES, MOST_VECTORS, best_in_cells, top_k
 
 TTL, CAPACITY, SIMILAR = 3600, 512, 0.92
 #: Width of a ring around a pivot, in radians.
@@ -70,45 +69,90 @@ def pivot_index(entries: DataFrame, pivots: np.ndarray) -> DataFrame:
     return distinct.mapInArrow(place, T.StructType([*distinct.schema.fields, *T.StructType.fromDDL("pivot int, ring int, angle double, norm double").fields]))
 
 
-def candidates(requests: DataFrame, index: DataFrame, pivots: np.ndarray, at_least: float) -> DataFrame:
-    """(request_id, q, entry_id, embedding) of all pairs that can reach a dot of `at_least`.
+def _reached(batch: pa.RecordBatch, pivots: np.ndarray, rings: np.ndarray, longest: np.ndarray, at_least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, number of a ring) of all rings (pivot, ring) that a request of the batch (request_id, q) has to visit."""
+    angles, norm = _angles(batch, 1, pivots)
+    with np.errstate(divide="ignore"):
+        least = at_least / (norm[:, None] * longest)
+    reach = np.where(least > 1 + 1e-6, -1.0, np.arccos(np.clip(least, -1, 1)) + 1e-5)
+    at, low = angles[:, rings[:, 0]], rings[:, 1] * RING
+    return np.nonzero((at + reach >= low) & (at - reach <= low + RING) & (reach > 0))
+
+
+def _visits(requests: DataFrame, pivots: np.ndarray, seen: list, at_least: float, places: np.ndarray, names: list[str]) -> DataFrame:
+    """(request_id, q, *names): each request with the distinct `places` (a row of numbers for each ring of `seen`) of the rings it visits.
 
     The triangle inequality of angles: an entry at angle t from its pivot is at least |t - p| from a request at angle p from that pivot,
     so a request visits only rings within its reach, the angle whose cosine, with its norm and the ring's largest, is `at_least`.
-    The bound is exact: rings are passed over only where no entry can qualify. Of the index, the driver sees which rings exist.
+    The bound is exact: rings are passed over only where no entry can qualify.
     """
-    seen = index.groupBy("pivot", "ring").agg(F.max("norm").alias("norm")).collect()  # as many as pivots times rings at most
     rings, longest = np.array([(r.pivot, r.ring) for r in seen], int).reshape(-1, 2), np.array([r.norm for r in seen], float)
+    kinds, which = np.unique(places, axis=0, return_inverse=True)
 
     def visit(batches):
         for whole in batches:
             for begin in range(0, whole.num_rows, 256):  # so that requests times rings stay few
                 b = whole.slice(begin, 256)
-                angles, norm = _angles(b, 1, pivots)
-                with np.errstate(divide="ignore"):
-                    least = at_least / (norm[:, None] * longest)
-                reach = np.where(least > 1 + 1e-6, -1.0, np.arccos(np.clip(least, -1, 1)) + 1e-5)
-                at, low = angles[:, rings[:, 0]], rings[:, 1] * RING
-                row, ring = np.nonzero((at + reach >= low) & (at - reach <= low + RING) & (reach > 0))
+                row, ring = _reached(b, pivots, rings, longest, at_least)
+                row, kind = np.divmod(np.unique(row * len(kinds) + which.ravel()[ring]), len(kinds))
                 picked = [c.take(pa.array(row)) for c in b.columns]
-                yield pa.RecordBatch.from_arrays([*picked, pa.array(rings[ring, 0].astype(np.int32)), pa.array(rings[ring, 1].astype(np.int32))], names=[*b.schema.names, "pivot", "ring"])
+                yield pa.RecordBatch.from_arrays([*picked, *(pa.array(c.astype(np.int32)) for c in kinds[kind].T)], names=[*b.schema.names, *names])
 
     asked = requests.select("request_id", F.col("embedding").alias("q"))
-    visits = asked.mapInArrow(visit, T.StructType([*asked.schema.fields, *T.StructType.fromDDL("pivot int, ring int").fields]))
+    return asked.mapInArrow(visit, T.StructType([*asked.schema.fields, *T.StructType.fromDDL(", ".join(f"{n} int" for n in names)).fields]))
+
+
+def _rings(index: DataFrame) -> list:
+    """Which rings exist, how many entries they have and their largest norm: as many rows as pivots times rings at most."""
+    return index.groupBy("pivot", "ring").agg(F.max("norm").alias("norm"), F.count(F.lit(1)).alias("n")).collect()
+
+
+def candidates(requests: DataFrame, index: DataFrame, pivots: np.ndarray, at_least: float) -> DataFrame:
+    """(request_id, q, entry_id, embedding) of all pairs that can reach a dot of `at_least`, by rings (`_visits`)."""
+    seen = _rings(index)
+    places = np.array([(r.pivot, r.ring) for r in seen], int).reshape(-1, 2)
+    visits = _visits(requests, pivots, seen, at_least, places, ["pivot", "ring"])
     return visits.join(index.select("pivot", "ring", "entry_id", "embedding"), ["pivot", "ring"]).select("request_id", "q", "entry_id", "embedding")
 
 
-def semantic(requests: DataFrame, entries: DataFrame, at_least: float = SIMILAR, pivots: int = 64) -> DataFrame:
+def _bins(seen: list, pivots: int, most: int) -> tuple[list[int], list[int]]:
+    """(first bin, number of bins) of each pivot: neighbouring pivots share a bin of about `most` entries, a pivot with more has several."""
+    n = np.zeros(pivots, int)
+    for r in seen:
+        n[r.pivot] += r.n
+    first, parts, at, filled = [], [], 0, 0
+    for x in n:
+        if filled and filled + x > most:
+            at, filled = at + 1, 0
+        first.append(at)
+        parts.append(max(1, int(-(-x // most))))
+        filled += int(x)
+        if parts[-1] > 1:
+            at, filled = at + parts[-1], 0
+    return first, parts
+
+
+def semantic(requests: DataFrame, entries: DataFrame, at_least: float = SIMILAR, pivots: int = 64, most_requests: int = MOST_QUERIES, most_entries: int = MOST_VECTORS) -> DataFrame:
     """(request_id, entry_id, similarity): the most similar entry with a positive dot of at least `at_least`; ties go to the smaller id.
 
-    Equal to a comparison of all pairs, by a pivot index over all entries (`pivot_index`, `candidates`). Null vectors match nothing.
+    Equal to a comparison of all pairs. Every entry is indexed under its nearest pivot (`pivot_index`), pivots are packed into bins,
+    and a request goes to the bins it can reach an entry in (`_visits`). Requests and entries of a bin meet in cells of about
+    `most_requests` by `most_entries`, as matrix products (`retrieve.best_in_cells`); pairs are no rows. Null vectors match nothing.
     """
     entries, requests = (x.filter(F.size("embedding") > 0) for x in (entries.select("entry_id", "embedding"), requests))
     chosen = pivot_vectors(entries, pivots)
     if not len(chosen):
         return requests.limit(0).select("request_id", F.lit(None).cast(entries.schema["entry_id"].dataType).alias("entry_id"), F.lit(0.0).alias("similarity"))
     index = stored(pivot_index(entries, chosen), "pivot-index")
-    scores = candidates(requests, index, chosen, at_least).select("request_id", "entry_id", F.greatest(F.lit(0.0), dot(F.col("q"), F.col("embedding"))).alias("score"))
+    seen, lots = _rings(index), max(1, -(-requests.count() // most_requests))
+    first, parts = _bins(seen, len(chosen), most_entries)
+    visits = _visits(requests, chosen, seen, at_least, np.array([(first[r.pivot], parts[r.pivot]) for r in seen], int).reshape(-1, 2), ["bin", "parts"])
+    visits = visits.select("request_id", "q", F.explode(F.sequence("bin", F.col("bin") + F.col("parts") - 1)).alias("bin"))
+    cell = lambda lot: (F.col("bin").cast("bigint") * lots + lot).alias("cell")
+    asked = visits.select(cell(F.pmod(F.xxhash64("request_id"), F.lit(lots))), "request_id", "q")
+    of_pivot = lambda numbers: F.element_at(F.array(*map(F.lit, numbers)), F.col("pivot") + 1)
+    held = index.select((of_pivot(first) + F.pmod(F.xxhash64("entry_id"), of_pivot(parts))).alias("bin"), F.explode(F.sequence(F.lit(0), F.lit(lots - 1))).alias("lot"), "entry_id", "embedding")
+    scores = best_in_cells(asked, held.select(cell(F.col("lot")), "entry_id", "embedding"), 1, at_least)
     best = top_k(scores.filter((F.col("score") > 0) & (F.col("score") >= at_least)), "request_id", "entry_id", 1)
     return best.select("request_id", "entry_id", F.col("score").alias("similarity"))
 
