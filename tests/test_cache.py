@@ -61,3 +61,9 @@ def test_cells_of_any_size_give_all_pairs(spark):
     got = sorted((r["request_id"], r["rank"], r["entry_id"], r["score"]) for r in retrieve.vector_top_k(odd, held, "request_id", "entry_id", 2).collect())
     assert got == [(1, 1, 3, 0.0), (1, 2, 4, 0.0), (2, 1, 5, 2.0), (2, 2, 3, 0.0)]
     assert not any("CartesianProduct" in p or "BroadcastNestedLoopJoin" in p for p in [retrieve.vector_top_k(odd, held, "request_id", "entry_id", 2)._jdf.queryExecution().executedPlan().toString()])
+
+
+def test_semantic_query_asks_with_every_tenth_vector(spark):
+    from inkwarden.plans import catalog
+
+    assert "% 10 = 0 AND v.vec_id % 10 <> 0" in catalog.ORACLES["cache_semantic"] and "0.5" in catalog.ORACLES["cache_semantic"]
