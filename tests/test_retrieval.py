@@ -133,3 +133,16 @@ def test_alike_prefixes_are_short_and_rare(spark):
     assert links.count() == 0 and classes.count() == 300
     empty, none = similarity.near_dup_links(df.filter("false"))
     assert empty.count() == 0 and none.count() == 0
+
+
+def test_best_chunks_without_pairs_or_shuffled_texts(spark):
+    rng = random.Random(8)
+    texts = [" ".join(rng.sample(WORDS, rng.randrange(3, 15))) for _ in range(150)] + [" ".join(WORDS[:8])] * 40 + ["", None, "12"]
+    parts = chunk.retrieval_chunks(corpus(spark, texts), name_col="source").withColumn("place", F.struct("source_id", "chunk_index", "chunk_id")).repartition(5)
+    queries = spark.createDataFrame([(i, " ".join(rng.sample(WORDS, 6))) for i in range(9)] + [(20, " ".join(WORDS[:8])), (21, ""), (22, None)], "query_id int, text string")
+    want = retrieve.top_k(retrieve.keyword_scores(queries, parts, "query_id", "place"), "query_id", "place", 4)
+    rows = lambda df: sorted((r["query_id"], r["rank"], tuple(r["place"]), r["score"]) for r in df.collect())
+    for most in (10, 1000):
+        assert rows(retrieve.keyword_top_k(queries, parts, "query_id", "place", 4, most_words=most)) == rows(want) and want.count() > 30
+    plan = retrieve.keyword_top_k(queries, parts, "query_id", "place", 4)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "BroadcastExchange" not in plan  # the one of the ranking
