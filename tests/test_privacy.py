@@ -121,3 +121,12 @@ def test_a_mask_uncovers_a_card(spark):
 def test_detection_matches_patterns_once(spark):
     plan = detect.detect(docs(spark, "1.2.3.4"), ["IP_ADDRESS"])._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all") == 1
+
+
+def test_scores_of_missing_long_and_repeating_texts(spark):
+    from inkwarden.operators import evaluate, score
+
+    pairs = spark.createDataFrame([(1, "a b b c", "B c d"), (2, None, "a"), (3, "", ""), (4, "x", None)], "doc_id int, original string, synthesized string")
+    assert {r["doc_id"]: (r["precision"], r["recall"]) for r in evaluate.lexical_score(pairs).collect()} == {1: (2 / 3, 3 / 4), 2: (0.0, 0.0), 3: (0.0, 0.0), 4: (0.0, 0.0)}
+    rows = score.style_profile(docs(spark, "zebra apple apple mango mango berry lemon grape grape grape olive", "", None)).orderBy("doc_id").collect()
+    assert rows[0]["domain_markers"] == ["grape", "apple", "mango", "berry", "lemon"] and rows[1]["domain_markers"] == []
