@@ -27,14 +27,15 @@ def gate(docs: DataFrame, left: str, right: str, threshold: float = 0.7) -> Data
 def style_profile(docs: DataFrame, markers: int = 5, text_col: str = "text") -> DataFrame:
     """avg_sentence_length, formality_score (share of words of 7 and more letters), domain_markers (the text's most frequent
     words of 5 and more letters, ties by alphabet) and tone, in the row."""
-    w = tx.words(F.lower(text_col))
-    long_words = F.array_sort(F.filter(w, lambda x: F.length(x) >= 5))
+    long_words = F.sort_array(F.filter("__w", lambda x: F.length(x) >= 5))
     none = F.array().cast("array<struct<n:int,w:string>>")
     start = F.struct(F.lit("").alias("prev"), F.lit(0).alias("run"), none.alias("out"))
-    put = lambda a: F.when(a["run"] > 0, F.concat(a["out"], F.array(F.struct((-a["run"]).alias("n"), a["prev"].alias("w"))))).otherwise(a["out"])
+    # only the best `markers` are kept; words come by alphabet, so a later one takes a place only with more occurrences
+    better = lambda a: (a["run"] > 0) & ((F.size(a["out"]) < markers) | (-a["run"] < F.element_at(a["out"], -1)["n"]))
+    put = lambda a: F.when(better(a), F.slice(F.array_sort(F.concat(a["out"], F.array(F.struct((-a["run"]).alias("n"), a["prev"].alias("w"))))), 1, markers)).otherwise(a["out"])
     step = lambda a, x: F.when(a["prev"] == x, F.struct(x.alias("prev"), (a["run"] + 1).alias("run"), a["out"].alias("out"))).otherwise(F.struct(x.alias("prev"), F.lit(1).alias("run"), put(a).alias("out")))
-    top = F.transform(F.slice(F.array_sort(F.aggregate(long_words, start, step, put)), 1, markers), lambda x: x["w"])
-    rows = docs.withColumn("__w", w)
+    top = F.transform(F.aggregate(long_words, start, step, put), lambda x: x["w"])
+    rows = docs.withColumn("__w", tx.words(F.lower(text_col)))
     n = F.size("__w")
     rows = rows.withColumn("avg_sentence_length", n / F.greatest(F.lit(1), F.size(sentences(F.col(text_col))))).withColumn("formality_score", F.when(n == 0, 0.5).otherwise(F.size(F.filter("__w", lambda x: F.length(x) >= 7)) / n))
     tone = F.when(F.col("formality_score") >= 0.4, "formal").when(F.col("formality_score") <= 0.15, "casual").otherwise("neutral")
