@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,7 +17,9 @@ from .words import Vocabulary, hashed, hashes_of, slabs
 MOST_WORDS = 48
 #: Parts of at most so many words are sought in windows of as many words, one step apart.
 WINDOWS = {4: 1, 8: 2, 16: 4, 24: 6, 32: 8, 40: 8, 48: 8}
-SLOTS = "doc_id bigint, slots array<int>, passage array<int>, counts array<bigint>"
+SLOTS = "doc_id bigint, slots array<int>, counts array<bigint>"
+#: Cells of the passages' Gram matrix that a task adds up at a time.
+MOST_CELLS = 1 << 23
 FOUND = "doc_id bigint, item_id bigint, similarity double, common_share double, answered boolean"
 
 
@@ -51,16 +52,16 @@ def lists(arrays: list[np.ndarray], kind) -> pa.Array:
 
 
 def slots_of(docs: DataFrame, q: Queries) -> DataFrame:
-    """Each document as the slots of its words in order, and one passage of MOST_WORDS words of it, at a place given by its id.
+    """Each document as the slots of its words in order.
 
-    Each task adds a row with the number of its documents that hold each word, and their number.
+    Each task adds a row with the number of its documents that hold each word, their number and that of their passages.
     """
     held = docs.sparkSession.sparkContext.broadcast(q.vocabulary)
 
     def run(batches):
         vocabulary = held.value
         size = len(vocabulary)
-        counts = np.zeros(size + 1, np.int64)
+        counts = np.zeros(size + 2, np.int64)
         for batch in batches:
             done, last = [], -1
             ids = batch.column(0).to_pylist()
@@ -70,11 +71,10 @@ def slots_of(docs: DataFrame, q: Queries) -> DataFrame:
                 number = np.repeat(np.arange(len(slots)), list(map(len, slots)))
                 pairs = np.unique(number * (size + 1) + np.concatenate(slots))
                 counts[:size] += np.bincount(pairs % (size + 1), minlength=size + 1)[:size]
-                counts[size] += len(slots)
+                counts[size:] += len(slots), sum(-(-len(s) // MOST_WORDS) for s in slots)
                 mine = [ids.pop(0) for _ in slots]
-                at = [zlib.crc32(str(i).encode()) % max(1, len(s) - MOST_WORDS) for i, s in zip(mine, slots)]
-                columns = [pa.array(mine, pa.int64()), lists(slots, pa.int32()), lists([s[a : a + MOST_WORDS] for a, s in zip(at, slots)], pa.int32()), pa.nulls(len(mine), pa.list_(pa.int64()))]
-                return pa.RecordBatch.from_arrays(columns, names=["doc_id", "slots", "passage", "counts"])
+                columns = [pa.array(mine, pa.int64()), lists(slots, pa.int32()), pa.nulls(len(mine), pa.list_(pa.int64()))]
+                return pa.RecordBatch.from_arrays(columns, names=["doc_id", "slots", "counts"])
 
             for numbers, pieces in slabs(x.as_py() for x in batch.column(1)):
                 words, n = hashed(pieces)
@@ -86,24 +86,32 @@ def slots_of(docs: DataFrame, q: Queries) -> DataFrame:
                     done = done[-1:]
             if done:
                 yield flush(done)
-        columns = [pa.nulls(1, pa.int64()), *[pa.nulls(1, pa.list_(pa.int32()))] * 2, pa.array([counts], pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "slots", "passage", "counts"])
+        columns = [pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int32())), pa.array([counts], pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "slots", "counts"])
 
     return settle(docs.select("doc_id", "text").mapInArrow(run, SLOTS), "word-slots")
 
 
 def inverse_frequencies(slots: DataFrame, size: int) -> tuple[np.ndarray, int]:
-    """(idf of each slot, number of documents), counted over all documents. Words of no item, the last slot, have the root mean square of the others.
+    """(idf of each slot, number of passages), counted over all documents. Words of no item, the last slot, have the root mean square of the others.
 
     `size` numbers come to the driver.
     """
     sums = slots.filter("counts is not null").select(F.posexplode("counts").alias("slot", "n")).groupBy("slot").agg(F.sum("n").alias("n"))
-    n = np.zeros(size + 1)
+    n = np.zeros(size + 2)
     for r in sums.collect():
         n[r.slot] = r.n
-    idf = np.log(1 + (n[size] + 1) / (n + 1))
+    idf = np.log(1 + (n[size] + 1) / (n[: size + 1] + 1))
     idf[size] = np.sqrt((idf[:size] ** 2).mean())
-    return idf, int(n[size])
+    return idf, int(n[size + 1])
+
+
+def passage_ends(ends: np.ndarray) -> np.ndarray:
+    """`ends` are places between documents, from the first one's begin on; so are those returned, between the passages of MOST_WORDS
+    words that all documents are cut into. A document's last passage may be shorter."""
+    n = -(-np.diff(ends) // MOST_WORDS)
+    doc = np.repeat(np.arange(len(n)), n)
+    return np.append(ends[:1], np.minimum(ends[doc] + MOST_WORDS * (1 + ranges(np.zeros(len(n), np.int64), n)), ends[doc + 1]))
 
 
 class Rows:
@@ -135,6 +143,62 @@ class Rows:
             out[slot] = np.add.reduceat((self.x * self.times(o)[self.number])[order], first, axis=0)
         return out
 
+    def pairs(self, low: int, high: int):
+        """(slot, slot, product) of all two entries of a row and of each with itself: the first slot from `low` to `high` - 1, the other not before it."""
+        (mine,) = np.nonzero((self.slots >= low) & (self.slots < high))
+        n = np.append(self.first[1:], len(self.x))[self.number[mine]] - mine
+        i, j, x = np.repeat(mine, n), ranges(mine, n), self.x.ravel().astype(float)
+        return self.slots[i], self.slots[j], x[i] * x[j]
+
+
+def gram_rows(slots: DataFrame, idf: np.ndarray, most_cells: int = MOST_CELLS) -> DataFrame:
+    """(slot, cells): A'A, each row from the diagonal on, where the rows of A are all passages of all documents (`passage_ends`).
+
+    The pairs of words of each passage are added up, in as many tasks as there are cores, and the tasks' sums of a row meet in one.
+    Slots are taken in bands of about `most_cells` cells, each a pass over the passages, so a task holds one band.
+    """
+    size, tasks = len(idf) - 1, slots.sparkSession.sparkContext.defaultParallelism
+    starts = np.append(0, np.cumsum(size - np.arange(size)))
+    held = slots.sparkSession.sparkContext.broadcast(idf)
+    kind, names = "slot int, cells array<float>", ["slot", "cells"]
+
+    def band(low, high):
+        at = starts[low : high + 1] - starts[low]
+
+        def partial(batches):
+            sums = np.zeros(at[-1])
+            for batch in batches:
+                column = batch.column(0)
+                ends, values = passage_ends(column.offsets.to_numpy().astype(np.int64)), column.values.to_numpy()
+                for k in range(0, len(ends) - 1, 4000):
+                    part = ends[k : k + 4001]
+                    i, j, x = Rows(values[part[0] : part[-1]], part[1:] - part[0], held.value).pairs(low, high)
+                    np.add.at(sums, at[i - low] + j - i, x)
+            for k in range(0, high - low, 256):
+                some = at[k : k + 257]
+                cells = pa.ListArray.from_arrays(pa.array(some - some[0], pa.int32()), pa.array(sums[some[0] : some[-1]], pa.float64()).cast(pa.float32()))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(cells)) + low + k, pa.int32()), cells], names=names)
+
+        def merge(batches):
+            sums: dict = {}
+            for batch in batches:
+                for slot, cells in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    new = cells.values.to_numpy()
+                    sums[slot] = sums[slot] + new if slot in sums else new.astype(float)
+            for slot, cells in sums.items():
+                yield pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), lists([cells], pa.float64()).cast(pa.list_(pa.float32()))], names=names)
+
+        rows = slots.filter("size(slots) > 0").select("slots").coalesce(tasks)
+        return settle(rows.mapInArrow(partial, kind).repartition(tasks, "slot").mapInArrow(merge, kind), "gram")
+
+    out, low = None, 0
+    while low < size:
+        high = max(low + 1, int(np.searchsorted(starts, starts[low] + most_cells, "right")) - 1)
+        new = band(low, high)
+        out, low = new if out is None else out.unionByName(new), high
+    held.destroy()
+    return out
+
 
 @dataclass
 class Space:
@@ -146,33 +210,40 @@ class Space:
     parts: np.ndarray
 
 
-def fit_space(q: Queries, slots: DataFrame, idf: np.ndarray, documents: int, dims: int, seed: int = 3) -> Space:
+def fit_space(q: Queries, slots: DataFrame, idf: np.ndarray, passages: int, dims: int, seed: int = 3) -> Space:
     """Randomised SVD of TF-IDF passages by distributed subspace iteration.
 
-    The rows are one passage of every document and the benchmark parts. The passages together weigh as much as the parts, so
-    the space does not drift from the parts as the corpus grows. Each pass adds up A'(A o) over the tasks, a matrix of (benchmark words x dims) in single precision, which reaches the driver once; it is orthonormalised
-    there, and the last pass gives the eigenvectors of the small o'A'Ao.
+    The rows of A are all passages of all documents and the benchmark parts. The passages together weigh as much as the parts, so
+    the space does not drift from the parts as the corpus grows. The passages are read once, for A'A (`gram_rows`). Each step adds up
+    A'A o over its rows, a matrix of (benchmark words x dims) in single precision, which reaches the driver once; it is
+    orthonormalised there, and the last step gives the eigenvectors of the small o'A'Ao.
     """
     size = len(q.vocabulary)
     dims = min(dims, size)
     own = Rows(np.concatenate(q.parts), np.cumsum([len(p) for p in q.parts]), idf)
     basis = np.append(np.linalg.qr(np.random.default_rng(seed).normal(size=(size, dims)))[0], np.zeros((1, dims)), axis=0).astype(np.float32)
-    passages = slots.filter("size(passage) > 0").select("passage")
+    gram = gram_rows(slots, idf) if passages else None
 
     def product(o):
-        held = slots.sparkSession.sparkContext.broadcast((o, idf))
-
-        def of_batch(column):
-            o, idf = held.value
-            out, ends, values = np.zeros(o.shape, np.float32), column.offsets.to_numpy(), column.values.to_numpy()
-            for k in range(0, len(column), 1000):
-                part = ends[k : k + 1001]
-                out += Rows(values[part[0] : part[-1]], part[1:] - part[0], idf).gram(o)
+        if gram is None:
+            return own.gram(o)
+        held = slots.sparkSession.sparkContext.broadcast(o)
+
+        def of_batch(slot, cells):
+            o, slot, ends, values = held.value, slot.to_numpy(), cells.offsets.to_numpy(), cells.values.to_numpy()
+            out = np.zeros(o.shape, np.float32)
+            for k in range(0, len(slot), 256):
+                mine, n = slot[k : k + 256], np.diff(ends[k : k + 257])
+                rows = np.zeros((len(mine), size), np.float32)
+                rows[np.repeat(np.arange(len(mine)), n), ranges(mine.astype(np.int64), n)] = values[ends[k] : ends[k + len(mine)]]
+                out[mine] += rows @ o[:-1]
+                rows[np.arange(len(mine)), mine] = 0  # the diagonal counts once
+                out[:-1] += rows.T @ o[mine]
             return [out]
 
-        parts = summed(passages, of_batch)
+        (sums,) = summed(gram, of_batch)
         held.destroy()
-        return own.gram(o) + (parts[0] * np.float32(len(q.parts) / documents) if parts else 0)
+        return own.gram(o) + sums * np.float32(len(q.parts) / passages)
 
     for _ in range(2):
         basis = np.linalg.qr(product(basis).astype(float))[0].astype(np.float32)
@@ -300,7 +371,7 @@ def leaks(
     """doc_id, item_id, similarity, common_share, answered: each document that holds a benchmark passage, with the item.
 
     Words are runs of letters, digits and underscores without case, known by 64-bit hashes. Every document is read once and
-    written as its benchmark words by place; frequencies are counted over all documents. Items, cut into parts of at most
+    written as its benchmark words by place; frequencies and the latent space come from all passages of all documents. Items, cut into parts of at most
     MOST_WORDS words, and overlapping windows of every whole text, as long as the part or the next width of WINDOWS, are compared
     in a latent space of `dims` dimensions (`fit_space`). Windows with a similarity of at least `cosine` to a part are checked
     on their words: it is a leak when the longest common subsequence covers `copied` of the part, or `reworded` of it while

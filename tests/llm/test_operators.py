@@ -8,11 +8,14 @@ import re
 import zlib
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from inkwarden.llm import components, decontaminate, exact_dedup, line_dedup, line_repeats, near_dedup, packing, quality, token_counts, url_filter, warc
 from inkwarden.llm.bpe import Encoder, default_path
+from inkwarden.llm.common import whole
+from inkwarden.llm.words import hashes_of
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, digest string, content string, v bigint, place int, score double"
 
@@ -552,6 +555,33 @@ def test_leaks_beside_brute_force(spark):
     assert all(i >= 60 or (i, j) in want for i, j in got if j > 1)  # nothing in clean documents
 
 
+def test_latent_space_is_fitted_on_all_passages(spark):
+    rng = random.Random(17)
+    prose_of = lambda n: " ".join("w%d" % rng.randrange(60) if rng.random() < 0.7 else "z%d" % rng.randrange(9) for _ in range(n))
+    q = decontaminate.queries_of([(1, " ".join("w%d" % k for k in range(45)))], 5)
+    texts = [prose_of(n) for n in (1, 47, 48, 49, 96, 500, 3000)] + ["", "z1 z2"]
+    frame = docs(spark, texts + [None]).select("doc_id", whole(F.col("text")).alias("text"))
+    slots = decontaminate.slots_of(frame, q)
+    idf, passages = decontaminate.inverse_frequencies(slots, len(q.vocabulary))
+    want, n = np.zeros((len(q.vocabulary),) * 2), 0
+    for text in texts:
+        s = q.vocabulary(hashes_of(text))
+        for k in range(0, len(s), decontaminate.MOST_WORDS):
+            x = np.bincount(s[k : k + decontaminate.MOST_WORDS], minlength=len(idf)) * idf
+            x[:-1] /= np.sqrt((x[:-1] ** 2).sum() + x[-1] * idf[-1])  # other words count in the length only, each as one
+            want, n = want + np.outer(x[:-1], x[:-1]), n + 1
+    for most in (1 << 23, 100, 1):
+        got = np.zeros_like(want)
+        for r in decontaminate.gram_rows(slots, idf, most).collect():
+            got[r.slot, r.slot :] += r.cells
+        assert np.allclose(got, np.triu(want), atol=1e-4) and passages == n == 82
+    space = decontaminate.fit_space(q, slots, idf, passages, 8)
+    own = decontaminate.Rows(q.parts[0], np.array([len(q.parts[0])]), idf)
+    g = want / n + own.gram(np.eye(len(idf), dtype=np.float32))[:-1, :-1]
+    v = (space.vectors / idf[:, None])[:-1]
+    assert np.trace(v.T @ g @ v) > 0.95 * np.sort(np.linalg.eigvalsh(g))[-8:].sum()
+
+
 def test_url_models_block_hosts_without_their_seed_word(spark):
     rng = random.Random(16)
     rows = [f"http://{rng.choice(['casino', 'poker', 'bets'])}-{rng.choice(['royal', 'jackpot', 'slots'])}.com/spin/{rng.randrange(99)}" if i % 5 == 0 else f"http://{rng.choice(['news', 'museum', 'garden'])}-{rng.choice(['daily', 'house', 'plants'])}.com/read/{rng.randrange(99)}" for i in range(1000)]
