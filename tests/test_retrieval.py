@@ -135,6 +135,24 @@ def test_alike_prefixes_are_short_and_rare(spark):
     assert empty.count() == 0 and none.count() == 0
 
 
+def test_alike_sets_meet_once_in_bounded_cells(spark):
+    """Words that many prefixes hold are dealt into chunks and families into blocks, and each pair is made once, without any join of pairs with sets."""
+    rng = random.Random(6)
+    base = rng.sample(WORDS, 60)
+    kept = lambda: [w for w in base if rng.random() > 0.06]
+    sets = [frozenset(kept() + [f"x{rng.randrange(30)}"]) for _ in range(150)] + [frozenset(rng.sample(WORDS, 20)) for _ in range(50)] + [frozenset(["a", "b"]), frozenset(["a", "c"]), frozenset(["d"])]
+    sets = sorted(set(sets), key=sorted)
+    ordered = similarity.by_rarity(spark.createDataFrame([(v, sorted(w)) for v, w in enumerate(sets)], "v bigint, words array<string>"))
+    want = {(a, b, len(sets[a] & sets[b])) for a in range(len(sets)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+    for chunk, block in ((1000, 500), (7, 9)):
+        pairs = [frozenset((r["va"], r["vb"])) for r in similarity.set_pairs(ordered, chunk=chunk).collect()]
+        assert len(pairs) == len(set(pairs)) and set(pairs) >= {frozenset(x[:2]) for x in want}
+        got = similarity.alike_sets(ordered, chunk=chunk, block=block)
+        found = [(max(r["va"], r["vb"]), min(r["va"], r["vb"]), r["shared"]) for r in got.collect()]
+        assert len(found) == len(set(found)) and set(found) == want and len(want) > 500
+    assert "array_intersect" not in got._jdf.queryExecution().toString()
+
+
 def test_best_chunks_without_pairs_or_shuffled_texts(spark):
     rng = random.Random(8)
     texts = [" ".join(rng.sample(WORDS, rng.randrange(3, 15))) for _ in range(150)] + [" ".join(WORDS[:8])] * 40 + ["", None, "12"]
