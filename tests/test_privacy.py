@@ -1,10 +1,14 @@
+import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from inkwarden.functions import checksums, fakes
+from inkwarden.functions.recognizers import REGISTRY
 from inkwarden.operators import chunk, detect, replace
+from inkwarden.plans import pipelines
 
 
 def docs(spark, *texts):
@@ -130,3 +134,40 @@ def test_scores_of_missing_long_and_repeating_texts(spark):
     assert {r["doc_id"]: (r["precision"], r["recall"]) for r in evaluate.lexical_score(pairs).collect()} == {1: (2 / 3, 3 / 4), 2: (0.0, 0.0), 3: (0.0, 0.0), 4: (0.0, 0.0)}
     rows = score.style_profile(docs(spark, "zebra apple apple mango mango berry lemon grape grape grape olive", "", None)).orderBy("doc_id").collect()
     assert rows[0]["domain_markers"] == ["grape", "apple", "mango", "berry", "lemon"] and rows[1]["domain_markers"] == []
+
+
+def test_guards_and_looks_ahead_lose_no_match(spark):
+    rng = random.Random(9)
+    bits = ["Ada Lovelace", "Paul", "Swiss", "Paris", "New York", "Acme Corp", "Big Blue AG", "MegaCorp", "jo@x.org", "+1 (415) 555-0100", "415-555-0100", "4111 1111 1111 1111", "123-45-6789", "A12345678", "B1234567", "10.0.0.1", "http://a.b/c", "2024-01-31", "May 3, 2020", "GB82 WEST 1234 5698 7654 32", "0x" + "a1" * 20, "51 824 753 556", "943 476 5919", "S1234567D", "ABCPE1234F", "RSSMRA85T10A562S", "12345678Z", "x", "_", "é", " ", "-", ".", "(", "word", "7"]
+    texts = ["".join(rng.choice(bits) + rng.choice(["", " ", " ", ", "]) for _ in range(rng.randrange(1, 9))) for _ in range(400)] + [None, "", "no such thing", "7"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = Counter((r["doc_id"], r["entity_type"], r["start"], r["end"]) for r in detect.detect(df, None, threshold=0.0).collect())
+    want, checks = Counter(), 0
+    seen = lambda t: re.sub(r"[^\x00-\x7f]", lambda m: "x" if m[0].isalpha() else " ", t)
+    for i, t in enumerate(texts):
+        for r in REGISTRY.values():
+            for m in re.finditer(r.pattern, seen(t or ""), re.ASCII):
+                checks += r.check is not None
+                if r.check is None or got[(i, r.entity_type, m.start(), m.end())]:
+                    want[(i, r.entity_type, m.start(), m.end())] += 1
+    assert got == want and len({k[1] for k in want}) > 20 and checks > 100
+    plan = detect.with_spans(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"RLIKE\([^,]*, \[0-9\]\)|\bRLIKE \[0-9\]", plan)) == 1
+
+
+def test_job_does_not_search_unchanged_texts_again(spark):
+    texts = ["mail ada@x.org now", "nothing here", "", None, "4111 1111 1111 1111 and 415-555-0100"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = {r["doc_id"]: (r["anonymized_text"], r["found"], r["residual"], r["status"]) for r in pipelines.anonymize_job(df).collect()}
+    assert rows[1][:3] == ("nothing here", 0, 0) and rows[2][:3] == ("", 0, 0) and rows[3][1:3] == (0, 0) and rows[0][1] == 1 and rows[4][1] >= 2
+    some = {r["doc_id"]: (r["found"], r["residual"]) for r in pipelines.anonymize_job(df, types=["US_SSN"]).collect()}
+    assert some[0] == (0, 1) and some[1] == (0, 0)  # other types are leftovers
+    assert "__again" in pipelines.anonymize_job(df)._jdf.queryExecution().analyzed().toString()
+
+
+def test_remainder_of_long_strings(spark):
+    values = ["", "0", "7", "97", "Z", "DE00", "3214282912345698765432161182", "WEST12345698765432GB82", "9" * 80, "AZ09" * 30, None]
+    got = [r["m"] for r in spark.createDataFrame([(v,) for v in values], "v string").select(checksums.mod97(F.col("v")).alias("m")).collect()]
+    assert got == [None if v is None else int("".join(str(int(c, 36)) for c in v) or "0") % 97 for v in values]
+    plan = spark.range(1).select(checksums.mod97(F.concat(F.lit("DE00"), F.col("id").cast("string"))).alias("m"))._jdf.queryExecution().analyzed().toString()
+    assert "RLIKE" not in plan
