@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -171,3 +172,21 @@ def test_remainder_of_long_strings(spark):
     assert got == [None if v is None else int("".join(str(int(c, 36)) for c in v) or "0") % 97 for v in values]
     plan = spark.range(1).select(checksums.mod97(F.concat(F.lit("DE00"), F.col("id").cast("string"))).alias("m"))._jdf.queryExecution().analyzed().toString()
     assert "RLIKE" not in plan
+
+
+def test_residual_scan_reports_what_one_round_of_masks_left(spark, tmp_path):
+    from inkwarden.plans import catalog
+
+    from .oracle import compare
+
+    texts = ["pay 4451718024887799 27.65.93.188 now", "mail ada@x.org", "Ada Lovelace moved to Paris", None, "", "  ", "é 4366089147969128 1.2.3.4 RSSMRA85T10A562S 12345678Z S1234567D AB1234563"]
+    valid = ["943 476 5919", "51 824 753 556", "123 456 782", "004 085 616", "2123 45670 1", "44051401359", "2341 2341 2346", "GB82 WEST 1234 5698 7654 32"]
+    rows = list(enumerate([*texts, *valid, *[v[:-1] + str((int(v[-1]) + 1) % 10) for v in valid]])) + [(1, "id twice, Anna Meyer"), (None, "no id, 4111 1111 1111 1111")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    query = catalog.QUERIES["pii_residual"]
+    out = sorted((tuple(r) for r in query(spark, str(tmp_path)).collect()), key=repr)
+    assert len(out) == len(rows) and (0, 1, "failed") in out and (2, 2, "failed") in out and {(1, 0, "completed"), (1, 1, "failed"), (None, 0, "completed"), (3, 0, "completed"), (4, 0, "completed"), (5, 0, "completed")} <= set(out)
+    assert {i for i, n, status in out if n > 0 and status == "failed"} >= set(range(6, 7 + len(valid)))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert compare(spark, con, query, catalog.ORACLES["pii_residual"], str(tmp_path)) == ""
